@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id
+from . import language_id, near_dedup
 from .common import crc_mod, table
 
 
@@ -18,8 +18,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(spark, docs, model).withColumn("held_out", held).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op3_near_dedup": op3_near_dedup,
 }
 
 SQL: dict[str, str] = {}
