@@ -277,8 +277,8 @@ def near_duplicates(
     lists = cut(spark, gathered.mapInArrow(_likely(near), "list long, id long").distinct(), "lists")
     discard(spark, *levels)
 
-    body = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("t")).join(lists.select("id").distinct(), "id", "left_semi")
-    shipped = lists.join(body, "id").select("list", "id", "t").repartition(parts, "list").sortWithinPartitions("list")
+    body = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("t")).join(lists.select("id").distinct().hint("merge"), "id", "left_semi")
+    shipped = lists.hint("merge").join(body, "id").select("list", "id", "t").repartition(parts, "list").sortWithinPartitions("list")
     edges = shipped.mapInArrow(_confirm(shingle, percent, 100), "u long, v long")
     found = components(spark, edges)
     discard(spark, lists)
