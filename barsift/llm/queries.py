@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_dedup
+from . import decontaminate, language_id, near_dedup, sstable
 from .common import crc_mod, table
 
 
@@ -26,10 +26,15 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.flag(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.token_output(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_near_dedup": op3_near_dedup,
     "op7_decontaminate": op7_decontaminate,
+    "op8_token_output": op8_token_output,
 }
 
 SQL: dict[str, str] = {}
