@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_dedup, sstable
-from .common import crc_mod, table
+from . import decontaminate, language_id, line_dedup, mixing, near_dedup, sstable, token_counts
+from .common import crc_mod, cut, shared_path, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +18,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(spark, docs, model).withColumn("held_out", held).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_recurring(spark, table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("kept_md5")).where("kept_md5 IS NOT NULL")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture_table(spark, table(spark, sf_dir, "documents"), max_repeat=MAX_REPEAT)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.flag(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -30,11 +39,44 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_output(spark, table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents enter with an estimate of their words; exact counts follow as revisions, a second tokenizer version as inserts, toxic documents as deletes. One batch is delivered twice."""
+    docs = table(spark, sf_dir, "documents")
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    counted = docs.select("doc_id", "source", "lang", F.ceil(F.coalesce("n_chars", F.lit(0)) / 6).alias("old"), mixing.words(F.col("text")).alias("words"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    counted = cut(spark, counted, "counted")
+    words = counted.withColumn("version", F.lit("words"))
+    octets = counted.withColumn("version", F.lit("bytes")).withColumn("n", F.col("bytes"))
+    ledger = token_counts.Ledger(spark, shared_path(spark, "ledger"))
+    ledger.apply("load", token_counts.inserts(words.withColumn("n", F.col("old"))))
+    ledger.apply("exact", token_counts.revisions(words.withColumn("n", F.col("words"))))
+    ledger.apply("bytes", token_counts.inserts(octets))
+    ledger.apply("exact", token_counts.revisions(words.withColumn("n", F.col("words"))))
+    gone = words.withColumn("n", F.col("words")).unionByName(octets.select(*octets.columns), allowMissingColumns=True)
+    ledger.apply("toxic", token_counts.deletes(gone.join(toxic, "doc_id", "left_semi")))
+    return ledger.totals()
+
+
+MAX_REPEAT = 1.25
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_line_dedup": op2_line_dedup,
     "op3_near_dedup": op3_near_dedup,
+    "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_output": op8_token_output,
+    "op10_token_counts": op10_token_counts,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_line_dedup": line_dedup.SQL,
+    "op6_mixing": mixing.SQL.replace("{max_repeat}", str(MAX_REPEAT)),
+    "op10_token_counts": r"""
+        SELECT source, lang, version, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens
+        FROM (SELECT doc_id, source, lang, 'words' AS version, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n FROM documents
+              UNION ALL
+              SELECT doc_id, source, lang, 'bytes', COALESCE(strlen(text), 0) FROM documents)
+        WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
+        GROUP BY ALL""",
+}
