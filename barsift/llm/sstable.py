@@ -27,10 +27,13 @@ bytes; an empty table makes no files; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -44,43 +47,69 @@ MAGIC = b"BSSSTBL1"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
 BLOCK_BYTES = 64 * 1024
 BITS_A_KEY, HASHES = 10, 7
-CACHE_UNITS = 120_000
+CACHE_UNITS = 250_000
 # white space of the tokenizer's pattern; a word never starts inside a run of it
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+# a letter or digit and what is neither, nor white space, always part there
+TAIL = re.compile(f"([^.,;:!?]*[^\\W_])([.,;:!?]+)")
 
 
 class Encoder:
     """Ids of whole texts. The tokenizer splits a text wherever white space follows something else, so the stretches between such places are encoded once each and remembered."""
 
     def __init__(self, path: str, width: int):
+        # one thread: the executor's cores are already taken by its tasks
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kind = np.dtype("<u2" if width == 2 else "<u4")
+        self.kind = "H" if width == 2 else "I"
         self.known: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > CACHE_UNITS:
-            self.known.clear()
+            # what is still in use moves on from the former generation
+            self.known, self.former = {}, self.known
         out: list = [None] * len(texts)
         units: list = []
         for i, t in enumerate(texts):
             t = t or ""
             if any(s in t for s in self.special):
-                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind).tobytes()
+                out[i] = self.packed(self.tokenizer.encode(t, add_special_tokens=False).ids)
                 units.append(())
             else:
                 units.append(UNIT.findall(t))
-        fresh = list(set().union(*units).difference(self.known))
+        fresh, joined = set(), []
+        for u in set().union(*units).difference(self.known):
+            if (v := self.former.get(u)) is not None:
+                self.known[u] = v
+            elif m := TAIL.fullmatch(u):
+                joined.append((u, *m.groups()))
+                fresh.update(x for x in m.groups() if x not in self.known)
+            else:
+                fresh.add(u)
+        fresh = list(fresh)
         for lo in range(0, len(fresh), 20_000):
             part = fresh[lo : lo + 20_000]
             for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[u] = np.array(e.ids, self.kind).tobytes()
+                self.known[u] = self.packed(e.ids)
+        for u, stem, tail in joined:
+            self.known[u] = self.known[stem] + self.known[tail]
         get = self.known.__getitem__
         return [x if x is not None else b"".join(map(get, u)) for x, u in zip(out, units, strict=True)]
 
+    def packed(self, ids: list[int]) -> bytes:
+        a = array(self.kind, ids)
+        if sys.byteorder == "big":
+            a.byteswap()
+        return a.tobytes()
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
 
 def key_bytes(i: int) -> bytes:
     return struct.pack(">Q", i + 2**63)
@@ -264,7 +293,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, folder: str, *, text: str
         store, top = open_store(folder)
         store.create_dir(top, recursive=True)
         name = writer = out = None
-        encoder = Encoder(path, width)
+        encoder = _encoders.get((path, width)) or _encoders.setdefault((path, width), Encoder(path, width))
         held: list[tuple[int, bytes]] = []
         ends = [None, None]
 
