@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, mixing, near_dedup, sstable, token_counts
+from . import decontaminate, kmeans_tree, language_id, line_dedup, mixing, near_dedup, sstable, token_counts
 from .common import crc_mod, cut, shared_path, table
 
 
@@ -27,6 +27,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.search(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_table(spark, table(spark, sf_dir, "documents"), max_repeat=MAX_REPEAT)
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
     "op3_near_dedup": op3_near_dedup,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_output": op8_token_output,
