@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kmeans_tree, language_id, line_dedup, mixing, near_dedup, sstable, token_counts
+from . import decontaminate, interpolated_lm, kmeans_tree, language_id, line_dedup, mixing, near_dedup, sstable, token_counts
 from .common import crc_mod, cut, shared_path, table
 
 
@@ -27,6 +27,12 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = crc_mod("doc_id", 7) == 2
+    return interpolated_lm.score(spark, docs, ~held).withColumn("held_out", held)
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_tree.search(spark, table(spark, sf_dir, "embeddings"))
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
     "op3_near_dedup": op3_near_dedup,
+    "op4_deleted_interpolation": op4_deleted_interpolation,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
