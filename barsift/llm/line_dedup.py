@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard
+from .common import cut
 
 LEAD = 3
 BROADCAST_ROWS = 500_000
@@ -39,10 +39,15 @@ def _masked(token: Column) -> Column:
 
 def _lines(docs: DataFrame, text: str, key: str, min_tokens: int) -> DataFrame:
     """(doc, pos, line, n, leaf): the lines that enter the tree."""
-    lines = docs.select(F.col(key).alias("doc"), F.posexplode(F.split(text, "\n"))).toDF("doc", "pos", "line").where("doc IS NOT NULL")
-    lines = lines.withColumn("line", F.trim(F.regexp_replace("line", SPACES, " ")))
-    lines = lines.withColumn("n", F.length("line") - F.length(F.translate("line", " ", "")) + 1).where((F.col("n") >= min_tokens) & (F.col("line") != ""))
-    head = F.split("line", " ", LEAD + 1)
+    # most texts have single blanks only; plain searches tell, and spare them the pattern
+    odd = F.lit(False)
+    for run in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | F.contains(F.col(text), F.lit(run))
+    lines = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), odd.alias("odd"), F.posexplode(F.split(text, "\n"))).toDF("doc", "odd", "pos", "line")
+    lines = lines.withColumn("line", F.trim(F.when(F.col("odd"), F.regexp_replace("line", SPACES, " ")).otherwise(F.col("line"))))
+    blanks = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
+    lines = lines.withColumn("n", blanks + 1).where((F.col("n") >= min_tokens) & (F.col("line") != ""))
+    head = F.split(F.substring_index("line", " ", LEAD), " ")
     return lines.withColumn("leaf", F.xxhash64("n", *[_masked(F.get(head, F.lit(i))) for i in range(LEAD)]))
 
 
@@ -53,7 +58,8 @@ def _small(spark: SparkSession, df: DataFrame) -> DataFrame:
 def drop_recurring(spark: SparkSession, docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_tokens: int = 4, min_docs: int = 3, constant: float = 0.5, similar: float = 0.7) -> DataFrame:
     """One row a document: key, text without recurring lines, n_lines, n_dropped."""
     lines = _lines(docs, text, key, min_tokens)
-    met = cut(spark, lines.select("leaf", F.xxhash64("line").alias("h"), "doc").distinct(), "met")
+    placed = cut(spark, lines.select("leaf", F.xxhash64("line").alias("h"), "doc", "pos"), "placed")
+    met = placed.select("leaf", "h", "doc").distinct()
     several = met.groupBy("leaf", "h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
     several = several.groupBy("leaf").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("kinds")).where("a < b")
     open_leaves = cut(spark, several.select("leaf", "kinds"), "open")
@@ -74,7 +80,7 @@ def drop_recurring(spark: SparkSession, docs: DataFrame, *, text: str = "text",
     recurring = seen.select("leaf", "template", "general", "doc").distinct().groupBy("leaf", "template", "general").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
     bad = cut(spark, seen.select("leaf", "h", "template", "general").distinct().join(recurring, ["leaf", "template", "general"], "left_semi").select("leaf", "h"), "bad")
 
-    gone = lines.withColumn("h", F.xxhash64("line")).join(_small(spark, bad), ["leaf", "h"], "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("gone"))
+    gone = placed.join(_small(spark, bad), ["leaf", "h"], "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("gone"))
     all_lines = F.split(F.col(text), "\n")
     out = docs.select(key, text).where(F.col(key).isNotNull()).join(gone.withColumnRenamed("doc", key), key, "left")
     left = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"))
