@@ -47,7 +47,7 @@ MAGIC = b"BSSSTBL1"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
 BLOCK_BYTES = 64 * 1024
 BITS_A_KEY, HASHES = 10, 7
-CACHE_UNITS = 250_000
+CACHE_UNITS = 600_000
 # white space of the tokenizer's pattern; a word never starts inside a run of it
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
