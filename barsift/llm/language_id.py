@@ -210,6 +210,14 @@ class Scorer:
 _scorers: dict[int, Scorer] = {}
 
 
+def scorer_for(model: dict) -> Scorer:
+    """The worker's scorer of this model, with the words it has met."""
+    if id(model) not in _scorers:
+        _scorers.clear()
+        _scorers[id(model)] = Scorer(model["langs"], model["prior"], model["p"], model["pieces"])
+    return _scorers[id(model)]
+
+
 def fit(spark: SparkSession, labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", vocab: str | None = None, sample_docs: int = 150) -> dict:
     """Learn from (text, lang) rows. The word statistics come from about ``sample_docs`` rows a language, picked by a hash of the key; the label frequencies from all."""
     rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull())
@@ -236,11 +244,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: dict, *, text: str = "t
     shared = spark.sparkContext.broadcast(model)  # bounded by the vocabulary's size times the languages
 
     def run(batches):
-        m = shared.value
-        scorer = _scorers.get(id(m))
-        if scorer is None:
-            _scorers.clear()
-            scorer = _scorers[id(m)] = Scorer(m["langs"], m["prior"], m["p"], m["pieces"])
+        scorer = scorer_for(shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, slice_rows):
                 part = batch.slice(lo, slice_rows)

@@ -111,6 +111,13 @@ class Encoder:
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
+def encoder_for(path: str, width: int) -> Encoder:
+    """The worker's encoder: what it remembers serves all its tasks. (A function of the module, as the dictionary itself would travel as a copy.)"""
+    if (path, width) not in _encoders:
+        _encoders[path, width] = Encoder(path, width)
+    return _encoders[path, width]
+
+
 def key_bytes(i: int) -> bytes:
     return struct.pack(">Q", i + 2**63)
 
@@ -293,7 +300,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, folder: str, *, text: str
         store, top = open_store(folder)
         store.create_dir(top, recursive=True)
         name = writer = out = None
-        encoder = _encoders.get((path, width)) or _encoders.setdefault((path, width), Encoder(path, width))
+        encoder = encoder_for(path, width)
         held: list[tuple[int, bytes]] = []
         ends = [None, None]
 
