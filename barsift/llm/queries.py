@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, interpolated_lm, kmeans_tree, language_id, line_dedup, mixing, near_dedup, sstable, token_counts
+from . import decontaminate, interpolated_lm, kmeans_tree, language_id, line_dedup, mixing, near_dedup, sstable, suffix_dedup, token_counts
 from .common import crc_mod, cut, shared_path, table
 
 
@@ -49,6 +49,11 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_output(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup.dedup(spark, table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents enter with an estimate of their words; exact counts follow as revisions, a second tokenizer version as inserts, toxic documents as deletes. One batch is delivered twice."""
     docs = table(spark, sf_dir, "documents")
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_output": op8_token_output,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
