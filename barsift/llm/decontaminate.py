@@ -187,16 +187,21 @@ class Group:
         return [(doc, item, d, at) for (doc, item), (d, at) in sorted(found.items())]
 
 
+def _groups(spark: SparkSession, benchmark: DataFrame, item_text: str, item_key: str, group_items: int, edits: float, repeats: int, min_words: int):
+    """Broadcast tables of the items, group by group."""
+    items = benchmark.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).cast("binary").alias("t")).where("t IS NOT NULL AND i IS NOT NULL")
+    count = max(1, -(-items.count() // group_items))
+    for g in range(count):
+        part = items.where(F.pmod(F.xxhash64("i"), F.lit(count)) == g)
+        yield spark.sparkContext.broadcast(Group([(r["i"], symbols(bytes(r["t"]))) for r in part.toLocalIterator()], edits, repeats, min_words))
+
+
 def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", edits: float = 0.1, min_words: int = 10, repeats: int = 12, group_items: int = 20_000, slice_rows: int = 256) -> DataFrame:
     """One row for each document and item found in it: key, item_id, distance, at_word."""
-    items = benchmark.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).cast("binary").alias("t")).where("t IS NOT NULL AND i IS NOT NULL")
-    groups = max(1, -(-items.count() // group_items))
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"))
     out = None
-    for g in range(groups):
-        part = items.where(F.pmod(F.xxhash64("i"), F.lit(groups)) == g)
-        shared = spark.sparkContext.broadcast(Group([(r["i"], symbols(bytes(r["t"]))) for r in part.toLocalIterator()], edits, repeats, min_words))
+    for shared in _groups(spark, benchmark, item_text, item_key, group_items, edits, repeats, min_words):
 
         def run(batches, shared=shared):
             group = shared.value
@@ -222,3 +227,21 @@ def flag(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, key: str
     best = hits.groupBy(key).agg(F.countDistinct("item_id").alias("n_items"), F.min(F.struct("distance", "item_id")).alias("b"))
     out = docs.select(key).join(best, key, "left")
     return out.select(key, F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.col("b.item_id").alias("item_id"), F.col("b.distance").alias("distance"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", item_key: str = "item_id", edits: float = 0.1, min_words: int = 10, repeats: int = 12, group_items: int = 20_000, slice_rows: int = 256) -> DataFrame:
+    """``docs`` without the rows in which an item is found; rows pass whole, so nothing is shuffled."""
+    at = docs.columns.index(text)
+    for shared in _groups(spark, benchmark, item_text, item_key, group_items, edits, repeats, min_words):
+
+        def run(batches, shared=shared):
+            group = shared.value
+            for b in batches:
+                for lo in range(0, b.num_rows, slice_rows):
+                    part = b.slice(lo, slice_rows)
+                    good = np.ones(part.num_rows, bool)
+                    good[[h[0] for h in group.hits([None if t is None else t.encode() for t in part.column(at).to_pylist()])]] = False
+                    yield part.filter(pa.array(good))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -253,3 +253,19 @@ def predict(spark: SparkSession, docs: DataFrame, model: dict, *, text: str = "t
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, lang_pred string, score double").withColumnRenamed("k", key)
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, model: dict, *, text: str = "text", min_score: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose language is undetermined or less sure than ``min_score``; rows pass whole, so nothing is shuffled."""
+    shared = spark.sparkContext.broadcast(model)
+    column = docs.columns.index(text)
+
+    def run(batches):
+        scorer = scorer_for(shared.value)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                good = [lang != UNDETERMINED and score >= min_score for lang, score in scorer.score(part.column(column).to_pylist())]
+                yield part.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -287,3 +287,9 @@ def near_duplicates(
     rep = classes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
     out = sketch.select("id", "n", "fp").join(rep, "fp", "left").withColumn("component_id", F.coalesce("component", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: those whose id is the group's smallest. Rows without an id stay."""
+    gone = near_duplicates(spark, docs, key=key, **options).where("NOT kept").select(F.col(key).alias("_gone")).distinct()
+    return docs.join(gone.hint("merge"), F.col(key).cast("long") == F.col("_gone"), "left_anti")
