@@ -30,7 +30,7 @@ from .common import cut
 
 LEAD = 3
 BROADCAST_ROWS = 500_000
-SPACES = r"[\x20\x09-\x0D]+"
+BLANKS = r"[\x20\x09\x0B-\x0D]+"
 
 
 def _masked(token: Column) -> Column:
@@ -39,12 +39,14 @@ def _masked(token: Column) -> Column:
 
 def _lines(docs: DataFrame, text: str, key: str, min_tokens: int) -> DataFrame:
     """(doc, pos, line, n, leaf): the lines that enter the tree."""
-    # most texts have single blanks only; plain searches tell, and spare them the pattern
+    # most texts have single blanks only; plain searches tell, and spare them the pattern.
+    # (All inside the generator's argument: what is below it runs once a text.)
     odd = F.lit(False)
     for run in ("  ", "\t", "\x0b", "\x0c", "\r"):
         odd = odd | F.contains(F.col(text), F.lit(run))
-    lines = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), odd.alias("odd"), F.posexplode(F.split(text, "\n"))).toDF("doc", "odd", "pos", "line")
-    lines = lines.withColumn("line", F.trim(F.when(F.col("odd"), F.regexp_replace("line", SPACES, " ")).otherwise(F.col("line"))))
+    even = F.when(odd, F.regexp_replace(text, BLANKS, " ")).otherwise(F.col(text))
+    lines = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.posexplode(F.split(even, "\n"))).toDF("doc", "pos", "line")
+    lines = lines.withColumn("line", F.trim("line"))
     blanks = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
     lines = lines.withColumn("n", blanks + 1).where((F.col("n") >= min_tokens) & (F.col("line") != ""))
     head = F.split(F.substring_index("line", " ", LEAD), " ")
