@@ -24,8 +24,8 @@ def points(*steps: tuple[Column, int]) -> Column:
     return out.otherwise(0)
 
 
-def score_features(bars: DataFrame) -> DataFrame:
-    """All features, score and phase of every bar."""
+def score_features(bars: DataFrame, tail: int | None = None) -> DataFrame:
+    """All features, score and phase of every bar, or of the last bars only: with ``tail``, the windows see that many bars of each symbol (the exponential means all)."""
     ctx = Context("symbol", "session")
     w = ctx.window
     c = F.col
@@ -33,6 +33,11 @@ def score_features(bars: DataFrame) -> DataFrame:
     means = [(f"ema{n}", "ewm", ["close"], (2 / (n + 1),)) for n in (5, 20, 50)]
     df = run_kernels(df, means, ["symbol"], "session")
 
+    whole = Window.partitionBy("symbol")
+    df = df.withColumns({"n": F.count("close").over(whole), "last_session": F.max("session").over(whole), "from_end": F.count("*").over(whole) - F.row_number().over(w)})
+    if tail is not None:
+        df = df.where(c("from_end") < tail)
+
     def last(n: int):
         return ctx.rows(n)
 
@@ -45,8 +50,6 @@ def score_features(bars: DataFrame) -> DataFrame:
         {
             "tr": F.greatest(c("high") - c("low"), F.abs(c("high") - prev), F.abs(c("low") - prev)),
             "change": c("close") - prev,
-            "n": F.count("close").over(Window.partitionBy("symbol")),
-            "last_session": F.max("session").over(Window.partitionBy("symbol")),
             "avg_vol": F.avg("volume").over(last(MEAN_BARS)),
             "up_vol": F.avg(F.when(up, c("volume"))).over(last(MEAN_BARS)),
             "down_vol": F.avg(F.when(down, c("volume"))).over(last(MEAN_BARS)),
@@ -109,7 +112,7 @@ def score_features(bars: DataFrame) -> DataFrame:
 def score_bars(bars: DataFrame, *, min_bars: int = 30, freshness_days: int = 5) -> DataFrame:
     """Score each symbol's latest bar. Kept are symbols of at least ``min_bars`` bars whose latest is within ``freshness_days`` of the latest among those kept so far."""
     c = F.col
-    latest = score_features(bars).where((c("session") == c("last_session")) & (c("n") >= min_bars))
+    latest = score_features(bars, tail=YEAR_BARS + MEAN_BARS + ATR_BARS).where((c("session") == c("last_session")) & (c("n") >= min_bars))
     newest = latest.agg(F.max("session").alias("newest"))  # one row
     fresh = latest.crossJoin(F.broadcast(newest)).where(F.datediff("newest", "session") <= freshness_days)
     return fresh.select(
