@@ -256,9 +256,10 @@ def near_duplicates(
     frontier = alone.select(F.explode("nodes").alias("node"), "id")
     leaves, levels = [], []
     for depth in range(1, max_depth + 1):
-        sized = frontier.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
+        # counts are written before they are joined back, so that the join can split a hot node
+        sized = cut(spark, frontier.groupBy("node").agg(F.count("*").alias("c")).where("c > 1"), "sized")
         level = cut(spark, frontier.join(sized, "node"), "level")
-        levels.append(level)
+        levels += [level, sized]
         leaves.append(level.where(F.col("c") <= node_limit).select("node", "id"))
         large = level.where(F.col("c") > node_limit)
         if large.isEmpty():
