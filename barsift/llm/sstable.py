@@ -37,6 +37,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,16 +48,22 @@ MAGIC = b"BSSSTBL1"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
 BLOCK_BYTES = 64 * 1024
 BITS_A_KEY, HASHES = 10, 7
-CACHE_UNITS = 600_000
+CACHE_UNITS = 1_000_000
 # white space of the tokenizer's pattern; a word never starts inside a run of it
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+ODD_BLANKS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] | [\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|^ | $"
 # a letter or digit and what is neither, nor white space, always part there
 TAIL = re.compile(f"([^.,;:!?]*[^\\W_])([.,;:!?]+)")
 
 
 class Encoder:
-    """Ids of whole texts. The tokenizer splits a text wherever white space follows something else, so the stretches between such places are encoded once each and remembered."""
+    """Ids of whole texts. The tokenizer splits a text wherever white space follows something else, so the stretches between such places are encoded once each; the first CACHE_UNITS of them are remembered.
+
+    Where blanks stand alone between words, Arrow does the rest: it splits the
+    texts, numbers the distinct words, and strings their ids together. Other
+    texts are cut by pattern.
+    """
 
     def __init__(self, path: str, width: int):
         # one thread: the executor's cores are already taken by its tasks
@@ -67,39 +74,70 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = "H" if width == 2 else "I"
         self.known: dict[str, bytes] = {}
-        self.former: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > CACHE_UNITS:
-            # what is still in use moves on from the former generation
-            self.known, self.former = {}, self.known
-        out: list = [None] * len(texts)
-        units: list = []
-        for i, t in enumerate(texts):
-            t = t or ""
-            if any(s in t for s in self.special):
-                out[i] = self.packed(self.tokenizer.encode(t, add_special_tokens=False).ids)
-                units.append(())
-            else:
-                units.append(UNIT.findall(t))
-        fresh, joined = set(), []
-        for u in set().union(*units).difference(self.known):
-            if (v := self.former.get(u)) is not None:
-                self.known[u] = v
-            elif m := TAIL.fullmatch(u):
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        odd = pc.match_substring_regex(texts, ODD_BLANKS)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        odd = odd.to_numpy(zero_copy_only=False)
+        out: list = [b""] * len(texts)
+        for i, x in zip(np.flatnonzero(~odd), self.encode_plain(texts.filter(pa.array(~odd))), strict=True):
+            out[i] = x
+        for i in np.flatnonzero(odd):
+            out[i] = self.encode_odd(texts[i].as_py())
+        return out
+
+    def encode_odd(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join(self.look_up(UNIT.findall(text)))
+
+    def encode_plain(self, texts: pa.Array) -> list[bytes]:
+        if not len(texts):
+            return []
+        split = pc.split_pattern(texts, " ")
+        begin = split.offsets.to_numpy().astype(np.int64)
+        begin, words = begin - begin[0], split.flatten()
+        coded = words.dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        kinds = [" " + w for w in coded.dictionary.to_pylist()]
+        # a text's first word has no blank before it
+        first = words.take(pa.array(begin[:-1])).to_pylist()
+        codes[begin[:-1]] = len(kinds) + np.arange(len(first))
+        ids = pa.array(self.look_up(kinds + first), pa.large_binary()).take(pa.array(codes))
+        at = np.frombuffer(ids.buffers()[1], np.int64, len(codes) + 1, ids.offset * 8)[begin].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [raw[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def look_up(self, units: list[str]) -> list[bytes]:
+        known = self.known
+        got = [known.get(u) for u in units]
+        fresh = {u for u, v in zip(units, got, strict=True) if v is None}
+        if fresh:
+            new = self.encode_units(fresh)
+            if len(known) < CACHE_UNITS:
+                known.update(new)
+            got = [new[u] if v is None else v for u, v in zip(units, got, strict=True)]
+        return got
+
+    def encode_units(self, units: set[str]) -> dict[str, bytes]:
+        """Units not met before; a word and the punctuation after it apart, as other units share either."""
+        whole, joined, out = [], [], {}
+        known = self.known
+        for u in units:
+            if m := TAIL.fullmatch(u):
                 joined.append((u, *m.groups()))
-                fresh.update(x for x in m.groups() if x not in self.known)
             else:
-                fresh.add(u)
-        fresh = list(fresh)
-        for lo in range(0, len(fresh), 20_000):
-            part = fresh[lo : lo + 20_000]
+                whole.append(u)
+        whole += {x for _, stem, tail in joined for x in (stem, tail) if x not in units and x not in known}
+        for lo in range(0, len(whole), 20_000):
+            part = whole[lo : lo + 20_000]
             for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[u] = self.packed(e.ids)
+                out[u] = self.packed(e.ids)
         for u, stem, tail in joined:
-            self.known[u] = self.known[stem] + self.known[tail]
-        get = self.known.__getitem__
-        return [x if x is not None else b"".join(map(get, u)) for x, u in zip(out, units, strict=True)]
+            out[u] = (out.get(stem) or self.known[stem]) + (out.get(tail) or self.known[tail])
+        return out
 
     def packed(self, ids: list[int]) -> bytes:
         a = array(self.kind, ids)
@@ -281,7 +319,7 @@ def _shard_bounds(rows: DataFrame, shards: int) -> list[int]:
     return sorted(set(cuts or []))
 
 
-def write_shards(spark: SparkSession, docs: DataFrame, folder: str, *, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, end_id: int = 2, shard_rows: int = 8_000, most_shards: int = 10_000, slice_rows: int = 128) -> DataFrame:
+def write_shards(spark: SparkSession, docs: DataFrame, folder: str, *, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, end_id: int = 2, shard_rows: int = 8_000, most_shards: int = 10_000, slice_rows: int = 1_000) -> DataFrame:
     """Write the shards; returns one row a shard: shard, path, rows, tokens, first_key, last_key, start (ids in all shards before)."""
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
     with open(path, encoding="utf-8") as f:
@@ -330,7 +368,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, folder: str, *, text: str
                     writer = Writer(out, width)
                     ends[0] = keys[0]
                 ends[1] = keys[-1]
-                held += [(k, v + end) for k, v in zip(keys, encoder.encode(part.column(1).to_pylist()), strict=True)]
+                held += [(k, v + end) for k, v in zip(keys, encoder.encode(part.column(1)), strict=True)]
                 put(False)
         if writer is not None:
             put(True)
