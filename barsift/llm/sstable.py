@@ -48,7 +48,7 @@ MAGIC = b"BSSSTBL1"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
 BLOCK_BYTES = 64 * 1024
 BITS_A_KEY, HASHES = 10, 7
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 700_000
 # white space of the tokenizer's pattern; a word never starts inside a run of it
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -73,7 +73,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = "H" if width == 2 else "I"
-        self.known: dict[str, bytes] = {}
+        # by what stands before the unit: nothing, or the blank that parts it from the word before
+        self.known: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
 
     def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
@@ -91,7 +92,7 @@ class Encoder:
     def encode_odd(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return b"".join(self.look_up(UNIT.findall(text)))
+        return b"".join(self.look_up(UNIT.findall(text), ""))
 
     def encode_plain(self, texts: pa.Array) -> list[bytes]:
         if not len(texts):
@@ -101,44 +102,45 @@ class Encoder:
         begin, words = begin - begin[0], split.flatten()
         coded = words.dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64)
-        kinds = [" " + w for w in coded.dictionary.to_pylist()]
+        kinds = coded.dictionary.to_pylist()
         # a text's first word has no blank before it
         first = words.take(pa.array(begin[:-1])).to_pylist()
         codes[begin[:-1]] = len(kinds) + np.arange(len(first))
-        ids = pa.array(self.look_up(kinds + first), pa.large_binary()).take(pa.array(codes))
+        ids = pa.array(self.look_up(kinds, " ") + self.look_up(first, ""), pa.large_binary()).take(pa.array(codes))
         at = np.frombuffer(ids.buffers()[1], np.int64, len(codes) + 1, ids.offset * 8)[begin].tolist()
         raw = memoryview(ids.buffers()[2] or b"")
         return [raw[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
 
-    def look_up(self, units: list[str]) -> list[bytes]:
-        known = self.known
-        got = [known.get(u) for u in units]
-        fresh = {u for u, v in zip(units, got, strict=True) if v is None}
+    def look_up(self, units: list[str], lead: str) -> list[bytes]:
+        known = self.known[lead]
+        got = list(map(known.get, units))
+        fresh = [u for u, v in zip(units, got, strict=True) if v is None]
         if fresh:
-            new = self.encode_units(fresh)
+            new = self.encode_units(set(fresh), lead)
             if len(known) < CACHE_UNITS:
                 known.update(new)
             got = [new[u] if v is None else v for u, v in zip(units, got, strict=True)]
         return got
 
-    def encode_units(self, units: set[str]) -> dict[str, bytes]:
+    def encode_units(self, units: set[str], lead: str) -> dict[str, bytes]:
         """Units not met before; a word and the punctuation after it apart, as other units share either."""
-        whole, joined, out = [], [], {}
-        known = self.known
-        for u in units:
-            if m := TAIL.fullmatch(u):
-                joined.append((u, *m.groups()))
-            else:
-                whole.append(u)
-        whole += {x for _, stem, tail in joined for x in (stem, tail) if x not in units and x not in known}
-        for lo in range(0, len(whole), 20_000):
-            part = whole[lo : lo + 20_000]
-            for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                out[u] = self.packed(e.ids)
-        for u, stem, tail in joined:
-            out[u] = (out.get(stem) or self.known[stem]) + (out.get(tail) or self.known[tail])
+        ended = {u: m.groups() for u in units if (m := TAIL.fullmatch(u))}
+        known, marks = self.known[lead], self.known[""]
+        stems = {stem for stem, _ in ended.values() if stem not in units and stem not in known}
+        tails = {tail for _, tail in ended.values() if tail not in marks}
+        out: dict[str, bytes] = {}
+        self.encode_whole([u for u in units if u not in ended] + list(stems), lead, out)
+        self.encode_whole(list(tails), "", marks)
+        for u, (stem, tail) in ended.items():
+            out[u] = (out.get(stem) or known[stem]) + marks[tail]
         return out
 
+    def encode_whole(self, units: list[str], lead: str, into: dict[str, bytes]) -> None:
+        for lo in range(0, len(units), 20_000):
+            part = units[lo : lo + 20_000]
+            for u, e in zip(part, self.tokenizer.encode_batch_fast([lead + u for u in part], add_special_tokens=False), strict=True):
+                into[u] = self.packed(e.ids)
+
     def packed(self, ids: list[int]) -> bytes:
         a = array(self.kind, ids)
         if sys.byteorder == "big":
@@ -319,7 +321,7 @@ def _shard_bounds(rows: DataFrame, shards: int) -> list[int]:
     return sorted(set(cuts or []))
 
 
-def write_shards(spark: SparkSession, docs: DataFrame, folder: str, *, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, end_id: int = 2, shard_rows: int = 8_000, most_shards: int = 10_000, slice_rows: int = 1_000) -> DataFrame:
+def write_shards(spark: SparkSession, docs: DataFrame, folder: str, *, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, end_id: int = 2, shard_rows: int = 8_000, most_shards: int = 10_000, slice_rows: int = 3_000) -> DataFrame:
     """Write the shards; returns one row a shard: shard, path, rows, tokens, first_key, last_key, start (ids in all shards before)."""
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
     with open(path, encoding="utf-8") as f:
