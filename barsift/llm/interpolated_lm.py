@@ -71,6 +71,12 @@ def pack_counts(counts: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u4").tobytes()
 
 
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and each value's number among them in 32 bits."""
+    keys, at = np.unique(x, return_inverse=True)
+    return keys, at.astype(np.int32)
+
+
 def ranges(keys: np.ndarray, parts: int) -> np.ndarray:
     """Where each of ``parts`` equal ranges of the hash space begins among sorted keys; parts + 1 places."""
     edges = np.array([(i << 64) // parts for i in range(parts)], U64)
@@ -90,15 +96,18 @@ class Part:
             tokens.append(np.array([END], U64))
         self.size = np.array([len(tokens[2 * i]) + 1 for i in range(len(docs))], np.int64)
         w = mix64(np.concatenate(tokens)) if tokens else np.zeros(0, U64)
-        del tokens
-        v = np.empty_like(w)
-        v[1:] = w[:-1]
+        tokens.clear()
         self.begin = np.concatenate([[0], np.cumsum(self.size)])[:-1]
-        v[self.begin] = mix64(np.array([START], U64))[0]
-        pair = mix64(v * U64(0x9E3779B97F4A7C15) + (w ^ U64(0xD1B54A32D192ED03)))
+        self.words, self.w = numbered(w)
+        pair = np.empty_like(w)
+        pair[1:] = w[:-1]
+        pair[self.begin] = mix64(np.array([START], U64))[0]
+        pair *= U64(0x9E3779B97F4A7C15)
+        w ^= U64(0xD1B54A32D192ED03)
+        pair += w
+        del w
+        self.pairs, self.p = numbered(mix64(pair))
         self.learnt = np.repeat(self.train, self.size)
-        self.words, self.w = np.unique(w, return_inverse=True)
-        self.pairs, self.p = np.unique(pair, return_inverse=True)
 
     def requests(self, parts: int):
         """(range, packed words, packed pairs)."""
@@ -139,14 +148,28 @@ def bins(p: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
+def slices(part: Part, tokens: int = 200_000):
+    """Documents of about so many tokens at a time: (first document, last, first token, last)."""
+    lo, ends = 0, part.begin + part.size
+    while lo < len(part.ids):
+        hi = max(lo + 1, int(np.searchsorted(ends, part.begin[lo] + tokens, "right")))
+        yield lo, hi, int(part.begin[lo]), int(ends[hi - 1])
+        lo = hi
+
+
 def cells(part: Part, total: int) -> dict[str, np.ndarray]:
-    on = part.learnt
-    cp, cv, cw = part.cp[on] - 1, part.cv[on] - 1, part.cw[on] - 1
-    p2, p1 = np.where(cv > 0, cp / np.maximum(cv, 1), 0.0), cw / max(1, total - 1)
-    cell = (bucket(cv) * BINS2 + bins(p2, BINS2)) * BINS1 + bins(p1, BINS1)
-    n = np.bincount(cell, minlength=1)
+    size = BUCKETS * BINS2 * BINS1
+    n, s2, s1 = np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
+    for _, _, a, b in slices(part):
+        on = part.learnt[a:b]
+        cp, cv, cw = part.cp[a:b][on] - 1, part.cv[a:b][on] - 1, part.cw[a:b][on] - 1
+        p2, p1 = np.where(cv > 0, cp / np.maximum(cv, 1), 0.0), cw / max(1, total - 1)
+        cell = (bucket(cv) * BINS2 + bins(p2, BINS2)) * BINS1 + bins(p1, BINS1)
+        n += np.bincount(cell, minlength=size)
+        s2 += np.bincount(cell, p2, size)
+        s1 += np.bincount(cell, p1, size)
     kept = np.flatnonzero(n)
-    return {"cell": kept, "n": n[kept], "p2": np.bincount(cell, p2)[kept] if len(cell) else np.zeros(0), "p1": np.bincount(cell, p1)[kept] if len(cell) else np.zeros(0)}
+    return {"cell": kept, "n": n[kept], "p2": s2[kept], "p1": s1[kept]}
 
 
 def learn_weights(rows: list[tuple[int, int, float, float]], vocabulary: int, rounds: int = 500) -> np.ndarray:
@@ -261,15 +284,14 @@ def score(spark: SparkSession, docs: DataFrame, train: Column, *, text: str = "t
     def evaluate(batches):
         if (part := gathered(batches)) is None:
             return
-        with np.errstate(divide="ignore"):
-            lam = weights[bucket(part.cv)]
-            p = lam[:, 0] * np.where(part.cv > 0, part.cp / np.maximum(part.cv, 1), 0.0) + lam[:, 1] * (part.cw / max(1, total)) + lam[:, 2] / (vocabulary + 1)
+        for first, last, a, b in slices(part):
+            cp, cv, cw = part.cp[a:b], part.cv[a:b], part.cw[a:b]
+            lam = weights[bucket(cv)]
+            p = lam[:, 0] * np.where(cv > 0, cp / np.maximum(cv, 1), 0.0) + lam[:, 1] * (cw / max(1, total)) + lam[:, 2] / (vocabulary + 1)
             if not total:
                 p = np.ones(len(p)) / (vocabulary + 1)
-            logs = np.log10(p)
-            base = np.log10((part.cw + 1) / (total + vocabulary + 1))
-        add = lambda x: np.add.reduceat(x, part.begin)
-        n = len(part.ids)
-        yield pa.RecordBatch.from_arrays([pa.array(part.ids), pa.array(part.size), pa.array(add((part.cw > 0).astype(np.int64))), pa.array(np.full(n, total, np.int64)), pa.array(add(base)), pa.array(add(logs))], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            at, n = part.begin[first:last] - a, last - first
+            sums = [np.add.reduceat(x, at) for x in ((cw > 0).astype(np.int64), np.log10((cw + 1) / (total + vocabulary + 1)), np.log10(p))]
+            yield pa.RecordBatch.from_arrays([pa.array(part.ids[first:last]), pa.array(part.size[first:last]), pa.array(sums[0]), pa.array(np.full(n, total, np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return met.mapInArrow(evaluate, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", key)
