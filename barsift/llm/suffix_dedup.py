@@ -156,12 +156,13 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     words = np.zeros(n, U64)
     for k in range(8):
         words = (words << U64(8)) | padded[k : n + k].astype(U64)
-    sa = np.argsort(words, kind="stable")
+    sa = np.argsort(words, kind="stable").astype(np.int32)  # a shard is far below 2^31 bytes
     sorted_words = words[sa]
     new = np.concatenate([[True], sorted_words[1:] != sorted_words[:-1]]) if n else np.zeros(0, bool)
+    del sorted_words
     # a group's number is its first place; places past the end come before all
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
     h = 8
     while h < depth:
         alone = new & np.append(new[1:], True)
@@ -185,13 +186,13 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 def common_prefixes(sa: np.ndarray, words: np.ndarray, most: int, lanes: int = 2048) -> np.ndarray:
     """Kasai: common prefix of each suffix with the one before it in order, up to ``most``. Lanes walk the text side by side; the prefix at one place less one is where the next place begins."""
     n = len(sa)
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     if n < 2:
         return out
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    place = np.empty(n, np.int64)
-    place[sa] = np.arange(n)
+    place = np.empty(n, np.int32)
+    place[sa] = np.arange(n, dtype=np.int32)
     step = -(-n // lanes)
     start = np.arange(0, n, step)
     h = np.zeros(len(start), np.int64)
