@@ -144,6 +144,176 @@ INDICATOR_SQL |= {
 INDICATOR_SQL["adosc"] = values(FLOW, {**INDEX, "x": f"sum(flow) OVER ({W} ROWS UNBOUNDED PRECEDING)"}, {"a": ewm("x", "0.5"), "b": ewm("x", "(2.0 / 11)")}, value="CASE WHEN i >= 9 THEN a - b END")
 
 
+# -- path-dependent indicators with seeds: fold over a partition's values so far
+
+
+def seen(x: str, skip: int = 0) -> str:
+    got = f"list_filter(list({x}) OVER ({W} ROWS UNBOUNDED PRECEDING), lambda v: v IS NOT NULL)"
+    return f"({got})[{skip + 1}:]" if skip else got
+
+
+def seeded(s: str, n: int, alpha: str) -> str:
+    """Mean of the first n values of list column s, then an exponential mean."""
+    return f"CASE WHEN len({s}) >= {n} THEN list_reduce(list_concat([list_avg({s}[1:{n}])], {s}[{n + 1}:]), lambda a, b: a + {alpha} * (b - a)) END"
+
+
+def chained(x: str, n: int, times: int, alpha: str) -> list[dict[str, str]]:
+    """Stages e1, e2, ...: seeded means of seeded means."""
+    out = []
+    for k in range(1, times + 1):
+        before = x if k == 1 else f"e{k - 1}"
+        out += [{f"s{k}_": seen(before)}, {f"e{k}": f"CASE WHEN {before} IS NOT NULL THEN {seeded(f's{k}_', n, alpha)} END"}]
+    return out
+
+
+MOVES = [
+    {"d": f"close - {lag('close')}"},
+    {"up": "CASE WHEN d IS NOT NULL THEN greatest(d, 0) END", "down": "CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END"},
+    {"us": seen("up"), "ds": seen("down")},
+    {"g": f"CASE WHEN d IS NOT NULL THEN {seeded('us', 10, '0.1')} END", "l": f"CASE WHEN d IS NOT NULL THEN {seeded('ds', 10, '0.1')} END"},
+]
+
+
+def wilder_sum(s: str) -> str:
+    return f"CASE WHEN len({s}) >= 10 THEN list_reduce(list_concat([list_sum({s}[1:9])], {s}[10:]), lambda a, b: a - a / 10 + b) END"
+
+
+ADX = [
+    {"ph": lag("high"), "pl": lag("low"), "pc": lag("close")},
+    {"u": "high - ph", "v": "pl - low", "r": "CASE WHEN pc IS NOT NULL THEN greatest(high, pc) - least(low, pc) END"},
+    {"pd": "CASE WHEN u IS NOT NULL THEN CASE WHEN u > v AND u > 0 THEN u ELSE 0 END END", "md": "CASE WHEN u IS NOT NULL THEN CASE WHEN v > u AND v > 0 THEN v ELSE 0 END END"},
+    {"ps": seen("pd"), "ms": seen("md"), "rs": seen("r")},
+    {"pw": wilder_sum("ps"), "mw": wilder_sum("ms"), "rw": wilder_sum("rs")},
+    {"a": "CASE WHEN rw > 0 THEN 100 * pw / rw WHEN rw IS NOT NULL THEN 0 END", "b": "CASE WHEN rw > 0 THEN 100 * mw / rw WHEN rw IS NOT NULL THEN 0 END"},
+    {"dx": "CASE WHEN a + b > 0 THEN 100 * abs(a - b) / (a + b) END"},
+    {"xs": seen("dx")},
+    {"x": f"CASE WHEN dx IS NOT NULL THEN {seeded('xs', 10, '0.1')} END"},
+]
+T3 = {"c1": -(0.7**3), "c2": 3 * 0.7**2 + 3 * 0.7**3, "c3": -6 * 0.7**2 - 3 * 0.7 - 3 * 0.7**3, "c4": 1 + 3 * 0.7 + 0.7**3 + 3 * 0.7**2}
+INDICATOR_SQL |= {
+    "cmo": values(*MOVES, value="CASE WHEN g + l = 0 THEN 0 ELSE 100 * (g - l) / (g + l) END"),
+    "stochrsi": values(*MOVES, {"r": "CASE WHEN g + l = 0 THEN 0 ELSE 100 * g / (g + l) END"}, {"hi": full("max", "r", 14), "lo": full("min", "r", 14)}, {"k": "CASE WHEN hi > lo THEN 100 * (r - lo) / (hi - lo) WHEN hi = lo THEN 0 END"}, {"ok": lag("k", 2)}, value="CASE WHEN ok IS NOT NULL THEN k END"),
+    "trix": values(*chained("close", 10, 3, "(2.0 / 11)"), {"p": lag("e3")}, value="100 * (e3 / p - 1)"),
+    "t3": values(*chained("close", 10, 6, "(2.0 / 11)"), value=f"{T3['c1']} * e6 + {T3['c2']} * e5 + {T3['c3']} * e4 + {T3['c4']} * e3"),
+    "macd": values({"s": seen("close"), "f": seen("close", 16)}, {"m": f"{seeded('f', 10, '(2.0 / 11)')} - {seeded('s', 26, '(2.0 / 27)')}", "i": f"row_number() OVER ({W}) - 1"}, value="CASE WHEN i >= 33 THEN m END"),
+    "adx": values(*ADX, value="x"),
+    "adxr": values(*ADX, {"x9": lag("x", 9)}, value="(x + x9) / 2"),
+    "kama": values(
+        {"d": f"abs(close - {lag('close')})", "c10": lag("close", 10), "i": f"row_number() OVER ({W}) - 1"},
+        {"noise": full("sum", "d", 10)},
+        {"er": "CASE WHEN noise <= abs(close - c10) OR noise <= 0 THEN 1 ELSE abs(close - c10) / noise END"},
+        {"step": "CASE WHEN i = 9 THEN [0.0, close] WHEN i > 9 THEN [(er * (2.0 / 3 - 2.0 / 31) + 2.0 / 31) ** 2, close] END"},
+        {"steps": seen("step")},
+        value="CASE WHEN i >= 10 THEN list_reduce(steps, lambda a, b: [0.0, a[2] + b[1] * (b[2] - a[2])])[2] END",
+    ),
+}
+
+# -- the remaining candlesticks, in SQL terms: bars a (oldest) to e
+
+
+class SqlBar:
+    """The bar k bars ago, as SQL text."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.o, self.h, self.l, self.c = (f"{x}{k}" for x in "ohlc")
+        self.top, self.bottom = f"greatest(o{k}, c{k})", f"least(o{k}, c{k})"
+        self.body, self.white, self.black = f"abs(c{k} - o{k})", f"c{k} >= o{k}", f"c{k} < o{k}"
+        self.upper, self.lower = f"(h{k} - {self.top})", f"({self.bottom} - l{k})"
+        self.sign = f"(CASE WHEN c{k} >= o{k} THEN 1 ELSE -1 END)"
+        self.mean, self.very_short, self.near, self.far, self.equal = f"b10_{k}", f"(0.1 * r10_{k})", f"(0.2 * r5_{k})", f"(0.6 * r5_{k})", f"(0.05 * r5_{k})"
+        self.long, self.short = f"{self.body} > {self.mean}", f"{self.body} < {self.mean}"
+        self.no_top, self.no_foot = f"{self.upper} < {self.very_short}", f"{self.lower} < {self.very_short}"
+        self.marubozu = f"{self.long} AND {self.no_top} AND {self.no_foot}"
+
+    def over(self, x: SqlBar) -> str:
+        return f"{self.bottom} > {x.top}"
+
+    def under(self, x: SqlBar) -> str:
+        return f"{self.top} < {x.bottom}"
+
+
+def trailing(x: str, n: int) -> str:
+    frame = f"OVER ({W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    return f"CASE WHEN count({x}) {frame} = {n} THEN avg({x}) {frame} END"
+
+
+PAST = [
+    {"b10_0": trailing("abs(close - open)", 10), "r10_0": trailing("high - low", 10), "r5_0": trailing("high - low", 5), **{f"{n[0]}0": n for n in ("open", "high", "low", "close")}},
+    {f"{x}{k}": lag(f"{x}0", k) for k in range(1, 5) for x in ("o", "h", "l", "c", "b10_", "r10_", "r5_")},
+]
+
+
+def candle(sign: str, *conditions: str) -> str:
+    return values(*PAST, value=f"CASE WHEN {' AND '.join(f'({c})' for c in conditions)} THEN {sign} ELSE 0 END")
+
+
+A, B, C, D, E = (SqlBar(k) for k in (4, 3, 2, 1, 0))
+
+
+def near_equal(x: str, y: str, by: str) -> str:
+    return f"{x} >= {y} - {by} AND {x} <= {y} + {by}"
+
+
+def within(x: str, lo: str, hi: str) -> str:
+    return f"{x} > {lo} AND {x} < {hi}"
+
+
+LONG_BLACK = (D.black, D.long, E.white, f"{E.o} < {D.l}")
+KICK = (f"{D.sign} = -{E.sign}", D.marubozu, E.marubozu, f"({D.black} AND {E.l} > {D.h}) OR ({D.white} AND {E.h} < {D.l})")
+INDICATOR_SQL |= {
+    "cdl3blackcrows": candle("-100", B.white, *[f"{x.black} AND {x.no_foot}" for x in (C, D, E)], within(D.o, C.c, C.o), within(E.o, D.c, D.o), f"{B.h} > {C.c} AND {C.c} > {D.c} AND {D.c} > {E.c}"),
+    "cdl3linestrike": candle(
+        f"{D.sign} * 100", f"{B.sign} = {C.sign} AND {C.sign} = {D.sign} AND {E.sign} = -{D.sign}", *[f"{y.o} >= {x.bottom} - {x.near} AND {y.o} <= {x.top} + {x.near}" for x, y in ((B, C), (C, D))],
+        f"({D.white} AND {D.c} > {C.c} AND {C.c} > {B.c} AND {E.o} > {D.c} AND {E.c} < {B.o}) OR ({D.black} AND {D.c} < {C.c} AND {C.c} < {B.c} AND {E.o} < {D.c} AND {E.c} > {B.o})",
+    ),
+    "cdl3starsinsouth": candle("100", C.black, C.long, f"{C.lower} > {C.body}", D.black, f"{D.body} < {C.body} AND {D.o} > {C.c} AND {D.o} <= {C.h} AND {D.l} < {C.c} AND {D.l} >= {C.l} AND {D.lower} > {D.very_short}", E.black, E.short, E.no_foot, E.no_top, f"{E.l} > {D.l} AND {E.h} < {D.h}"),
+    "cdl3whitesoldiers": candle("100", *[f"{x.white} AND {x.no_top}" for x in (C, D, E)], f"{E.c} > {D.c} AND {D.c} > {C.c}", *[f"{y.o} > {x.o} AND {y.o} <= {x.c} + {x.near}" for x, y in ((C, D), (D, E))], f"{D.body} > {C.body} - {C.far} AND {E.body} > {D.body} - {D.far}", f"{E.body} > {E.mean}"),
+    "cdlbreakaway": candle(
+        f"{E.sign} * 100", A.long, f"{A.sign} = {B.sign} AND {B.sign} = {D.sign} AND {D.sign} = -{E.sign}",
+        f"({A.black} AND {B.under(A)} AND {C.h} < {B.h} AND {C.l} < {B.l} AND {D.h} < {C.h} AND {D.l} < {C.l} AND {within(E.c, B.o, A.c)}) OR ({A.white} AND {B.over(A)} AND {C.h} > {B.h} AND {C.l} > {B.l} AND {D.h} > {C.h} AND {D.l} > {C.l} AND {within(E.c, A.c, B.o)})",
+    ),
+    "cdlconcealbabyswall": candle("100", *[x.black for x in (B, C, D, E)], *[f"{x.no_top} AND {x.no_foot}" for x in (B, C)], D.under(C), f"{D.upper} > {D.very_short} AND {D.h} > {C.c} AND {E.h} > {D.h} AND {E.l} < {D.l}"),
+    "cdlidentical3crows": candle("-100", *[f"{x.black} AND {x.no_foot}" for x in (C, D, E)], f"{C.c} > {D.c} AND {D.c} > {E.c}", near_equal(D.o, C.c, C.equal), near_equal(E.o, D.c, D.equal)),
+    "cdlinneck": candle("-100", *LONG_BLACK, f"{E.c} <= {D.c} + {D.equal} AND {E.c} >= {D.c}"),
+    "cdlonneck": candle("-100", *LONG_BLACK, near_equal(E.c, D.l, D.equal)),
+    "cdlthrusting": candle("-100", *LONG_BLACK, f"{E.c} > {D.c} + {D.equal} AND {E.c} <= {D.c} + {D.body} * 0.5"),
+    "cdlkicking": candle(f"{E.sign} * 100", *KICK),
+    "cdlkickingbylength": candle(f"(CASE WHEN {E.body} > {D.body} THEN {E.sign} ELSE {D.sign} END) * 100", *KICK),
+    "cdlladderbottom": candle("100", A.black, B.black, C.black, f"{A.o} > {B.o} AND {B.o} > {C.o} AND {A.c} > {B.c} AND {B.c} > {C.c}", D.black, f"{D.upper} > {D.very_short}", E.white, f"{E.o} > {D.o} AND {E.c} > {D.h}"),
+    "cdlrisefall3methods": candle(
+        f"{A.sign} * 100", A.long, B.short, C.short, D.short, E.long, *[f"{x.sign} = -{A.sign}" for x in (B, C, D)], f"{E.sign} = {A.sign}", *[f"{x.bottom} < {A.h} AND {x.top} > {A.l}" for x in (B, C, D)],
+        f"{C.c} * {A.sign} < {B.c} * {A.sign} AND {D.c} * {A.sign} < {C.c} * {A.sign} AND {E.o} * {A.sign} > {D.c} * {A.sign} AND {E.c} * {A.sign} > {A.c} * {A.sign}",
+    ),
+    "cdlseparatinglines": candle(f"{E.sign} * 100", f"{D.sign} = -{E.sign}", near_equal(E.o, D.o, D.equal), E.long, f"({E.white} AND {E.no_foot}) OR ({E.black} AND {E.no_top})"),
+    "cdlstalledpattern": candle("-100", C.white, D.white, E.white, f"{E.c} > {D.c} AND {D.c} > {C.c}", C.long, D.long, D.no_top, f"{D.o} > {C.o} AND {D.o} <= {C.c} + {C.near}", E.short, f"{E.o} >= {D.c} - {E.body} - {D.near}"),
+    "cdltasukigap": candle(
+        f"{D.sign} * 100", f"abs({D.body} - {E.body}) < {D.near}",
+        f"({D.over(C)} AND {D.white} AND {E.black} AND {within(E.o, D.o, D.c)} AND {E.c} < {D.o} AND {E.c} > {C.top}) OR ({D.under(C)} AND {D.black} AND {E.white} AND {within(E.o, D.c, D.o)} AND {E.c} > {D.o} AND {E.c} < {C.bottom})",
+    ),
+}
+
+
+
+def hikkake_sql() -> str:
+    """Signs of the pattern by age, and confirmation by the first close beyond the inside bar within three bars."""
+    sign = "CASE WHEN h1 < h2 AND l1 > l2 THEN CASE WHEN high < h1 AND low < l1 THEN 1 WHEN high > h1 AND low > l1 THEN -1 ELSE 0 END ELSE 0 END"
+    ages = {f"{x}{k}": lag(y, k) for k in (1, 2, 3) for x, y in (("s", "s"), ("hi", "h1"), ("lo", "l1"), ("q", "close"))}
+    ages["z5"] = lag("close", 5)
+
+    def beyond(close: str, age: int) -> str:
+        return f"((s{age} = 1 AND {close} > hi{age}) OR (s{age} = -1 AND {close} < lo{age}))"
+
+    whens = []
+    for age in (1, 2, 3):
+        quiet = "".join(f" AND s{k} = 0 AND NOT {beyond(f'q{k}', age)}" for k in range(1, age))
+        whens.append(f"WHEN s{age} <> 0{quiet} AND {beyond('close', age)} THEN 200 * s{age}")
+    return values({f"{x}{k}": lag(n, k) for k in (1, 2) for x, n in (("h", "high"), ("l", "low"))}, {"s": sign}, ages, value=f"CASE WHEN z5 IS NULL THEN 0 WHEN s <> 0 THEN 100 * s {' '.join(whens)} ELSE 0 END")
+
+
+INDICATOR_SQL["cdlhikkake"] = hikkake_sql()
+
+
 def indicator_values(bars: DataFrame, name: str, args: list, seed: str = "first") -> DataFrame:
     ctx = Context("symbol", "session", seed)
     got = Planner(ctx, catalog_from_schema(bars)).operand({"fn": name, "args": args})
@@ -265,7 +435,15 @@ def trend_template(spark, d):
 SIX = "rsi(close, 14) > 30 and ema(20) > ema(50) and atr(14) > 0 and close > sma(20) and roc(10) > 0 and natr(14) > 0"
 
 
-@query("six_indicators")
+@query(
+    "six_indicators",
+    chain(
+        {"d": f"close - {lag('close')}", "pc": lag("close"), "e20": ewm("close", "(2.0 / 21)"), "e50": ewm("close", "(2.0 / 51)"), "m": full("avg", "close", 20), "c10": lag("close", 10)},
+        {"g": ewm("CASE WHEN d IS NOT NULL THEN greatest(d, 0) END", "(1.0 / 14)"), "l": ewm("CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END", "(1.0 / 14)"), **RANGE},
+        {"atr": ewm("tr", "(1.0 / 14)")},
+        final=f"SELECT {PRICES} FROM @ WHERE CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END > 30 AND e20 > e50 AND atr > 0 AND close > m AND close / c10 > 1 AND atr / close > 0",
+    ),
+)
 def six_indicators(spark, d):
     return screen(bars_priority(spark, d), SIX)
 
@@ -295,16 +473,18 @@ SCORED = (
 )
 
 
-@query(
-    "score_bars",
-    chain(*SCORED, final=f"""SELECT symbol, session, close, CAST(score AS SMALLINT) AS score, phase, {rint('vol_ratio', 2)} AS vol_ratio, {rint('atr_ratio', 2)} AS atr_ratio, {rint('rsi', 1)} AS rsi, {rint('acc_score', 3)} AS acc_score, spring, ema_stack, recent_cross, {rint('wick', 2)} AS upper_wick_pct, near_52w_low, n AS bars
-    FROM (SELECT *, max(session) OVER () AS newest FROM @ WHERE session = last AND n >= 30) WHERE date_diff('day', session, newest) <= 5""", base=NATION),
-)
+def scores(days: int, where: str = "true") -> str:
+    shown = f"symbol, session, close, CAST(score AS SMALLINT) AS score, phase, {rint('vol_ratio', 2)} AS vol_ratio, {rint('atr_ratio', 2)} AS atr_ratio, {rint('rsi', 1)} AS rsi, {rint('acc_score', 3)} AS acc_score, spring, ema_stack, recent_cross, {rint('wick', 2)} AS upper_wick_pct, near_52w_low, n AS bars"
+    latest = "SELECT *, max(session) OVER () AS newest FROM @ WHERE session = last AND n >= 30"
+    return chain(*SCORED, final=f"SELECT {shown} FROM ({latest}) WHERE date_diff('day', session, newest) <= {days} AND {where}", base=NATION)
+
+
+@query("score_bars", scores(5))
 def scored(spark, d):
     return score_bars(bars_nation(spark, d))
 
 
-@query("scored_screen")
+@query("scored_screen", scores(400, "score >= 20"))
 def scored_screen(spark, d):
     return apply(score_bars(bars_nation(spark, d), freshness_days=400), parse("score >= 20 and phase in [BASE, NONE, TREND, BREAKOUT, CLIMAX]"))
 
