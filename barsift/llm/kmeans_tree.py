@@ -11,10 +11,13 @@ How many leaves a query visits is calibrated: a bounded set of calibration
 queries is answered by brute force over all rows, and the number of leaves is
 widened by half until their recall reaches ``recall``. Queries then meet the
 rows of their leaves in one shuffle by leaf; leaves are dealt to chunks of at
-most ``chunk_rows`` rows, so a leaf that holds a third of all rows (copies of
-one vector) is many tasks. Each chunk keeps a query's ``k`` best, ties to
+most ``chunk_rows`` rows, so a large leaf is many tasks. Each chunk keeps a query's ``k`` best, ties to
 smaller ids, and a second, pre-aggregated step keeps the best of those.
 
+Of equal vectors only the k + 1 smallest ids can be among anyone's k nearest
+(ties go to smaller ids, and one may be the query itself), so a batch of the
+index keeps no more of them: copies of one vector do not pile up in a leaf.
+
 Scores are cosines of the original vectors in double precision, computed in
 the same way for every pair.
 
@@ -122,6 +125,17 @@ def matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
+def telling(ids: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
+    """Rows that can be an answer: of each distinct vector the ``most`` smallest ids."""
+    kinds = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
+    _, kind, count = np.unique(kinds, return_inverse=True, return_counts=True)
+    if count.max() <= most:
+        return np.arange(len(ids))
+    order = np.lexsort((ids, kind))
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(count) - count, count)
+    return np.sort(order[place < most])
+
+
 def best(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """(query, id, cosine) of each query's k best among the rows, its own id left out. One dot product a pair by einsum, so a pair's score does not depend on its block."""
     out = []
@@ -195,6 +209,7 @@ def search(spark: SparkSession, vectors: DataFrame, *, key: str = "vec_id", colu
     def index(batches):
         for b in batches:
             if b.num_rows:
+                b = b.take(pa.array(telling(b.column(0).to_numpy(), matrix(b.column(1), size), k + 1)))
                 x = matrix(b.column(1), size)
                 yield pa.RecordBatch.from_arrays([pa.array(shared.value.assign(unit(x))), b.column(0), b.column(1)], ["leaf", "id", "v"])
 
