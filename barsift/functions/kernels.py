@@ -7,11 +7,13 @@ and a missing value inside the series gives a missing output there.
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate
 
 import numpy as np
 
 NAN = float("nan")
+TURN = 2 * math.pi
 
 
 def _first(*xs: np.ndarray) -> int:
@@ -244,36 +246,36 @@ def sar(high, low, step=0.02, most=0.2):
 
 
 def _hilbert(x: np.ndarray):
-    """Ehlers' homodyne discriminator: smoothed price, and period and smoothed period at each bar."""
+    """Ehlers' homodyne discriminator: smoothed price, and period and smoothed period at each bar. Plain floats, as each bar needs the one before."""
     n = len(x)
-    s = np.zeros(n)
-    for i in range(3, n):
-        s[i] = (4 * x[i] + 3 * x[i - 1] + 2 * x[i - 2] + x[i - 3]) / 10
-    det, q1, i1 = np.zeros(n), np.zeros(n), np.zeros(n)
-    period, steady = np.zeros(n), np.zeros(n)
+    smooth = np.zeros(n)
+    smooth[3:] = (4 * x[3:] + 3 * x[2:-1] + 2 * x[1:-2] + x[:-3]) / 10
+    s, det, q1, i1 = smooth.tolist(), [0.0] * n, [0.0] * n, [0.0] * n
+    period, steady = [0.0] * n, [0.0] * n
     i2 = q2 = re = im = 0.0
-
-    def hilbert(y, i, k):
-        return (0.0962 * y[i] + 0.5769 * y[i - 2] - 0.5769 * y[i - 4] - 0.0962 * y[i - 6]) * k
-
+    a, b, atan = 0.0962, 0.5769, math.atan
     for i in range(12, n):
-        k = 0.075 * period[i - 1] + 0.54
-        det[i] = hilbert(s, i, k)
-        q1[i] = hilbert(det, i, k)
+        last = period[i - 1]
+        k = 0.075 * last + 0.54
+        det[i] = (a * (s[i] - s[i - 6]) + b * (s[i - 2] - s[i - 4])) * k
+        q1[i] = (a * (det[i] - det[i - 6]) + b * (det[i - 2] - det[i - 4])) * k
         i1[i] = det[i - 3]
-        ji, jq = hilbert(i1, i, k), hilbert(q1, i, k)
+        ji = (a * (i1[i] - i1[i - 6]) + b * (i1[i - 2] - i1[i - 4])) * k
+        jq = (a * (q1[i] - q1[i - 6]) + b * (q1[i - 2] - q1[i - 4])) * k
         was_i, was_q = i2, q2
-        i2, q2 = 0.2 * (i1[i] - jq) + 0.8 * i2, 0.2 * (q1[i] + ji) + 0.8 * q2
+        i2 = 0.2 * (i1[i] - jq) + 0.8 * i2
+        q2 = 0.2 * (q1[i] + ji) + 0.8 * q2
         re = 0.2 * (i2 * was_i + q2 * was_q) + 0.8 * re
         im = 0.2 * (i2 * was_q - q2 * was_i) + 0.8 * im
-        p = period[i - 1]
-        if re != 0 and im != 0:
-            p = 360 / np.degrees(np.arctan(im / re))
-        p = min(p, 1.5 * period[i - 1])
-        p = min(max(p, 0.67 * period[i - 1], 6), 50)
-        period[i] = 0.2 * p + 0.8 * period[i - 1]
+        p = TURN / atan(im / re) if re and im else last
+        if p > 1.5 * last:
+            p = 1.5 * last
+        if p < 0.67 * last:
+            p = 0.67 * last
+        p = 6.0 if p < 6 else 50.0 if p > 50 else p
+        period[i] = 0.2 * p + 0.8 * last
         steady[i] = 0.33 * period[i] + 0.67 * steady[i - 1]
-    return s, period, steady
+    return smooth, np.array(period), np.array(steady)
 
 
 def _cycle(x: np.ndarray, warm: int, value) -> np.ndarray:
@@ -322,10 +324,9 @@ def ht_trendline(x):
     def value(b):
         steady = _hilbert(b)[2]
         sums = np.concatenate([[0.0], np.cumsum(b)])
-        mean = np.zeros(len(b))
-        for i in range(len(b)):
-            span = int(steady[i] + 0.5)
-            mean[i] = (sums[i + 1] - sums[max(0, i + 1 - span)]) / span if span else b[i]
+        at = np.arange(len(b))
+        span = (steady + 0.5).astype(np.int64)
+        mean = np.where(span > 0, (sums[at + 1] - sums[np.maximum(0, at + 1 - span)]) / np.maximum(span, 1), b)
         out = mean.copy()
         out[3:] = (4 * mean[3:] + 3 * mean[2:-1] + 2 * mean[1:-2] + mean[:-3]) / 10
         return out
