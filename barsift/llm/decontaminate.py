@@ -41,6 +41,7 @@ from .common import U64, mix64
 
 STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SAMPLED = 3
+SPAN = 20
 PRIME = 1_000_003
 
 
@@ -101,8 +102,8 @@ class Sized:
         rng = np.random.default_rng(seed)
         self.draws = []
         for r in range(repeats if self.most else 1):
-            # sampled among steps that the walk over the shortest item reaches
-            steps = np.sort(rng.choice(max(SAMPLED, 2 * self.least * 3 // 4), SAMPLED, replace=False))
+            # sampled among early steps, which few edits lie before and all walks reach
+            steps = np.sort(rng.choice(max(SAMPLED, min(SPAN, 2 * self.least * 3 // 4)), SAMPLED, replace=False))
             keys = digest(np.stack([walk(s, np.zeros(1, np.int64), int(steps[-1]) + 1, r)[steps, 0] for _, s in items], 1))
             order = np.argsort(keys, kind="stable")
             self.draws.append((steps, keys[order], order))
@@ -196,7 +197,7 @@ def _groups(spark: SparkSession, benchmark: DataFrame, item_text: str, item_key:
         yield spark.sparkContext.broadcast(Group([(r["i"], symbols(bytes(r["t"]))) for r in part.toLocalIterator()], edits, repeats, min_words))
 
 
-def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", edits: float = 0.1, min_words: int = 10, repeats: int = 12, group_items: int = 20_000, slice_rows: int = 256) -> DataFrame:
+def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", edits: float = 0.15, min_words: int = 10, repeats: int = 16, group_items: int = 20_000, slice_rows: int = 256) -> DataFrame:
     """One row for each document and item found in it: key, item_id, distance, at_word."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"))
@@ -229,7 +230,7 @@ def flag(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, key: str
     return out.select(key, F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.col("b.item_id").alias("item_id"), F.col("b.distance").alias("distance"))
 
 
-def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", item_key: str = "item_id", edits: float = 0.1, min_words: int = 10, repeats: int = 12, group_items: int = 20_000, slice_rows: int = 256) -> DataFrame:
+def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", item_key: str = "item_id", edits: float = 0.15, min_words: int = 10, repeats: int = 16, group_items: int = 20_000, slice_rows: int = 256) -> DataFrame:
     """``docs`` without the rows in which an item is found; rows pass whole, so nothing is shuffled."""
     at = docs.columns.index(text)
     for shared in _groups(spark, benchmark, item_text, item_key, group_items, edits, repeats, min_words):

@@ -29,7 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, up to a tenth of its words edited, go."""
+    """Documents that hold a benchmark item, up to 15 in 100 of its words edited, go."""
     ship(spark)
     return decontaminate.drop_contaminated(spark, docs, table(spark, sf_dir, "benchmark"))
 

@@ -264,7 +264,7 @@ def test_decontamination(spark):
         if n % 4 == 0:
             k = rng.randrange(41)
             item = items[k][1].split()
-            edits = rng.randrange(0, int(0.1 * len(item)) + 1) if len(item) >= 10 else 0
+            edits = rng.randrange(0, int(0.15 * len(item)) + 1) if len(item) >= 10 else 0
             for _ in range(edits):
                 item[rng.randrange(1, len(item))] = "edited"
             at = rng.randrange(len(words) + 1)
