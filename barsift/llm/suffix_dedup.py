@@ -334,8 +334,10 @@ def dedup(spark: SparkSession, docs: DataFrame, *, text: str = "text", key: str
             return b
 
         again = np.flatnonzero(part.repeated)
-        for d in np.unique(part.doc[again]) if len(again) else ():
-            rows = again[np.searchsorted(part.doc[again], d) : np.searchsorted(part.doc[again], d, "right")]
+        owner = part.doc[again]
+        edges = np.flatnonzero(np.diff(owner, prepend=-1, append=-1))
+        for first, end in zip(edges[:-1], edges[1:], strict=True):
+            d, rows = owner[first], again[first:end]
             lo, hi = join_ranges(part.lo[rows], part.hi[rows])
             out["shard"] += [-1] * len(lo)
             out["hot"] += [False] * len(lo)
