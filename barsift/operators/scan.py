@@ -27,6 +27,11 @@ def apply_relation(spark: SparkSession, scan_def: dict, *, relation: str, catalo
     return plan.apply(spark.table(relation))
 
 
+def apply_sql(spark: SparkSession, scan_def: dict, *, relation: str = "bars", **options) -> DataFrame:
+    """``apply_relation`` with the conventions of SQL engines: exponential means begin with the mean of their first n values, and only names that those engines have are taken."""
+    return apply_relation(spark, scan_def, relation=relation, **({"engine": "duckdb"} | options))
+
+
 def calls(node) -> list[dict]:
     """Indicator calls of a definition, outermost first; those inside arithmetic are the predicate's own."""
     if not isinstance(node, dict):

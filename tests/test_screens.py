@@ -111,6 +111,16 @@ def test_errors(frame):
     assert barsift.apply_relation(frame.sparkSession, {"filters": [leaf("close", ">", 60)]}, relation="bars_view").count() == 9
 
 
+def test_sql_conventions(frame):
+    frame.createOrReplaceTempView("bars")
+    catalog, spark = catalog_from_schema(frame), frame.sparkSession
+    ema = {"filters": [leaf(fn("ema", CLOSE, 20), ">", 0)]}
+    assert barsift.apply_sql(spark, ema, catalog=catalog).count() == 2 * 41
+    assert barsift.apply_relation(spark, ema, relation="bars", catalog=catalog).count() == 120
+    with pytest.raises(ValueError, match="not available on the duckdb engine"):
+        barsift.apply_sql(spark, {"filters": [leaf(fn("obv", 1), ">", 0)]}, catalog=catalog)
+
+
 def test_custom_indicator(frame):
     barsift.INDICATORS["twice"] = (("expr",), lambda ctx, e: e * 2, ())
     try:
