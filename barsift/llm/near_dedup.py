@@ -98,8 +98,8 @@ def _sketches(docs: DataFrame, text: str, key: str, size: int, trees: int, simil
     roots = mix64(np.arange(1, trees + 1, dtype=U64))
 
     def run(batches):
-        hashes = WordHash()
-        for batch in batches:
+        hashes = WordHash(200_000)
+        for batch in (b.slice(lo, 1_000) for b in batches for lo in range(0, b.num_rows, 1_000)):
             ids, out = batch.column(0), {"n": [], "fp": [], "mh": [], "nodes": []}
             for t in batch.column(1):
                 s = shingle_set(t.as_py(), hashes, size)
@@ -130,9 +130,8 @@ def _branch(rows: DataFrame, similarity: float) -> DataFrame:
 def runs(batches, columns: int):
     """Whole runs of equal first column out of batches sorted by it: (key, list of columns)."""
     key, held = None, [[] for _ in range(columns)]
-    for b in batches:
-        cols = [c.to_pylist() for c in b.columns]
-        for row in zip(*cols, strict=True):
+    for part in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
+        for row in zip(*[c.to_pylist() for c in part.columns], strict=True):
             if row[0] != key:
                 if held[0]:
                     yield key, held
@@ -220,7 +219,7 @@ def stars(sets: list[np.ndarray], need: int, of: int) -> list[tuple[int, int]]:
 
 def _confirm(size: int, need: int, of: int):
     def run(batches):
-        hashes = WordHash()
+        hashes = WordHash(200_000)
         u, v = [], []
         for _, (ids, texts) in runs(batches, 2):
             for a, b in stars([shingle_set(t, hashes, size) for t in texts], need, of):
