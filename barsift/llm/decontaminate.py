@@ -1,25 +1,21 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
+"""Benchmark decontamination: exact seeds, lossless filters, exact edit verification.
 
 Texts and benchmark items become sequences of symbols: words lower-cased (A-Z),
 with ASCII punctuation stripped from both ends. A word of no item is the blank
-symbol. A window of a document is compared with an item of the same length in
-words; it is a hit if their edit distance, in words, is at most
-``floor(edits * words)`` after alignment (prefix of the document from the
-window's start, of any length up to words + allowed edits).
-
-The CGK walk reads a sequence with a pointer: at step j it writes the symbol
-under the pointer and moves on if a random bit of (j, symbol) says so. Close
-strings walk in step, so a small edit distance becomes a small Hamming
-distance, and equality at a few sampled steps is a locality-sensitive hash.
-Walks start at item-sized windows; each of ``repeats`` repetitions draws its
-own bits and samples ``SAMPLED`` steps. The sampled steps of all windows of a
-document are computed at once, one numpy pass a step. A window matching an item
-in any repetition is verified by exact banded edit distance.
-
-Ahead of the walk, windows that cannot match are ruled out without loss: an
-edit distance of k leaves at least words - k words of the item in the window,
-so a window with more blanks than the longest allowance is none; and as an edit spoils at most two pairs of
-neighbouring words, neither is one with too many pairs that no item has.
+symbol. An item is found in a document if some stretch of it is at an edit
+distance, in words, of at most ``floor(edits * words)`` of the item.
+
+Nothing is lost on the way. An item with an allowance of k edits is dealt into
+k + 1 blocks; k edits leave one block at least as it was, wherever they lie, and
+that block is at most k words from its place. So the first ``SEED`` words of
+each block (all of a shorter one) are looked up at every word of a document,
+and each place found names the starts that the item can have there.
+
+Two filters rule out places without loss: of the words surely in the stretch, at
+most k are not the item's; and as an edit spoils at most two pairs of
+neighbouring words, at most 2k pairs are of no item. What is left is verified by
+bit-parallel edit distance (Myers) from the item's end backwards, which gives
+the least distance from every start in one pass.
 
 Items are handled in groups of at most ``group_items``; one group's tables are
 broadcast at a time, so what is broadcast is bounded whatever the benchmark's
@@ -40,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import U64, mix64
 
 STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-SAMPLED = 3
-SPAN = 20
+SEED = 8
+PLACES = 1_000_000
 PRIME = 1_000_003
 
 
@@ -73,80 +69,97 @@ def edit_distance(a: list, b: list, most: int) -> int:
     return min(min(prev), big)
 
 
-def walk(syms: np.ndarray, starts: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """CGK: the symbol written at each step, from each start; past the end it writes -1. steps x starts."""
-    out = np.empty((steps, len(starts)), np.int64)
-    at, n = starts.astype(np.int64), len(syms)
-    padded = np.append(syms, -1)
-    for j in range(steps):
-        s = padded[np.minimum(at, n)]
-        out[j] = s
-        at = at + (mix64(s.view(U64) + (U64(seed * 1000 + j) << U64(32))) & U64(1)).astype(np.int64)
-    return out
-
-
-def digest(w: np.ndarray) -> np.ndarray:
-    """One hash for each column."""
-    h = np.zeros(w.shape[1], U64)
-    for row in w:
-        h = mix64(h * U64(31) + np.ascontiguousarray(row).view(U64) + U64(7))
+def digest(syms: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
+    """One hash for the words from each start."""
+    h = np.zeros(len(starts), U64)
+    for j in range(words):
+        h = mix64(h * U64(31) + syms[starts + j].view(U64) + U64(7))
     return h
 
 
-class Sized:
-    """Items of similar length: the windows they need, and for each repetition the sampled steps and the hashes found there."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]], allow: list[int], repeats: int, seed: int):
-        self.items, self.allow = items, allow
-        self.least, self.most = min(len(s) for _, s in items), max(allow)
-        rng = np.random.default_rng(seed)
-        self.draws = []
-        for r in range(repeats if self.most else 1):
-            # sampled among early steps, which few edits lie before and all walks reach
-            steps = np.sort(rng.choice(max(SAMPLED, min(SPAN, 2 * self.least * 3 // 4)), SAMPLED, replace=False))
-            keys = digest(np.stack([walk(s, np.zeros(1, np.int64), int(steps[-1]) + 1, r)[steps, 0] for _, s in items], 1))
-            order = np.argsort(keys, kind="stable")
-            self.draws.append((steps, keys[order], order))
-
-    def candidates(self, syms: np.ndarray, blanks: np.ndarray, misses: np.ndarray):
-        """Distinct (start, item) that some repetition brings together."""
-        places = len(syms) - self.least + 1
-        if places < 1:
-            return
-        ok = blanks[self.least :] - blanks[:places] <= self.most
-        # an edit spoils two pairs of neighbours at most
-        span = max(0, self.least - self.most - 1)
-        ok &= misses[span : span + places] - misses[:places] <= 2 * self.most
-        starts = np.flatnonzero(ok & (syms[:places] > 0))
-        if not len(starts):
+class Item:
+    """One item and its allowance."""
+
+    def __init__(self, item: int, syms: np.ndarray, most: int):
+        self.item, self.syms, self.most = item, syms, most
+
+    def bits(self) -> dict[int, int]:
+        """The places of each of its words, from its end, as bits."""
+        out: dict[int, int] = {}
+        for j, s in enumerate(self.syms[::-1].tolist()):
+            out[s] = out.get(s, 0) | 1 << j
+        return out
+
+    def seeds(self) -> list[tuple[int, int]]:
+        """(offset, words) of the blocks' first words."""
+        at = [b * len(self.syms) // (self.most + 1) for b in range(self.most + 2)]
+        words = min(SEED, len(self.syms) // (self.most + 1))
+        return [(o, words) for o in at[:-1]]
+
+    def distances(self, bits: dict[int, int], words: list[int]) -> list[int]:
+        """From each word, the least edits turning the item into what follows, of any length."""
+        m, out = len(self.syms), []
+        full, top = (1 << m) - 1, 1 << m - 1
+        up, down, d = full, 0, m
+        for w in reversed(words):
+            eq = bits.get(w, 0)
+            x = eq | down
+            flat = (((eq & up) + up) ^ up) | eq
+            more, less = down | ~(flat | up) & full, up & flat
+            d += (more & top > 0) - (less & top > 0)
+            more, less = more << 1 & full, less << 1 & full
+            up, down = less | ~(x | more) & full, more & x
+            out.append(d)
+        return out[::-1]
+
+
+class Seeds:
+    """The seeds of one length: sorted hashes, with item and offset of each."""
+
+    def __init__(self, words: int, items: list[Item], found: list[tuple[int, int]]):
+        self.words = words
+        keys = np.concatenate([digest(items[k].syms, np.array([o]), words) for k, o in found])
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.item, self.offset = (np.array(x, np.int64)[order] for x in zip(*found, strict=True))
+
+    def places(self, syms: np.ndarray, blanks: np.ndarray, misses: np.ndarray):
+        """(item, place of its first word were there no edits) of every seed met, some at a time."""
+        ends = len(syms) - self.words + 1
+        if ends < 1:
             return
-        seen = set()
-        for r, (steps, keys, order) in enumerate(self.draws):
-            got = digest(walk(syms, starts, int(steps[-1]) + 1, r)[steps])
-            lo, hi = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
-            for x in np.flatnonzero(hi > lo):
-                for k in order[lo[x] : hi[x]].tolist():
-                    if (pair := (int(starts[x]), k)) not in seen:
-                        seen.add(pair)
-                        yield pair
+        # all words and pairs of a seed are some item's
+        starts = np.flatnonzero((blanks[self.words :] == blanks[:ends]) & (misses[self.words - 1 : self.words - 1 + ends] == misses[:ends]))
+        got = digest(syms, starts, self.words)
+        lo, hi = np.searchsorted(self.keys, got, "left"), np.searchsorted(self.keys, got, "right")
+        met = np.flatnonzero(hi > lo)
+        total = np.cumsum(hi[met] - lo[met])
+        for part in np.split(met, np.searchsorted(total, np.arange(PLACES, total[-1] if len(total) else 0, PLACES))):
+            n = hi[part] - lo[part]
+            at = np.repeat(lo[part] - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(n.sum())
+            yield self.item[at], np.repeat(starts[part], n) - self.offset[at]
 
 
 class Group:
-    """Items of one group, dealt by length; small and broadcast."""
+    """Items of one group and their seeds; small and broadcast."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], edits: float, repeats: int, min_words: int):
+    def __init__(self, items: list[tuple[int, list[bytes]]], edits: float, min_words: int):
         seen: dict[tuple, int] = {}
         for i, w in sorted(items, key=lambda x: x[0]):
             if w:
                 seen.setdefault(tuple(w), i)
         self.vocab = {w: k + 1 for k, w in enumerate(sorted({x for ws in seen for x in ws}))}
+        self.items = [Item(i, np.array([self.vocab[x] for x in ws], np.int64), min(len(ws) - 1, int(edits * len(ws))) if len(ws) >= min_words else 0) for ws, i in seen.items()]
+        self.sizes = np.array([len(x.syms) for x in self.items], np.int64)
+        self.most = np.array([x.most for x in self.items], np.int64)
         by: dict[int, list] = {}
-        for ws, i in seen.items():
-            by.setdefault(int(np.log(len(ws)) / np.log(1.3)), []).append((i, np.array([self.vocab[x] for x in ws], np.int64)))
-        self.sized = [Sized(x, [int(edits * len(s)) if len(s) >= min_words else 0 for _, s in x], repeats, n) for n, x in sorted(by.items())]
+        for k, x in enumerate(self.items):
+            for o, words in x.seeds():
+                by.setdefault(words, []).append((k, o))
+        self.seeds = [Seeds(words, self.items, found) for words, found in sorted(by.items())]
         self.memo: dict[bytes, int] = {}
-        seqs = [x for s in self.sized for _, x in s.items]
-        # a set of neighbouring symbols as a bit table; a false member only costs a walk
+        seqs = [x.syms for x in self.items]
+        # a set of neighbouring symbols as a bit table; a false member only costs a look-up
         self.pairs = np.zeros(1 << max(16, int(np.ceil(np.log2(1 + 16 * sum(map(len, seqs)))))), bool)
         for x in seqs:
             self.pairs[(x[:-1] * PRIME + x[1:]) & (len(self.pairs) - 1)] = True
@@ -165,44 +178,61 @@ class Group:
 
     def hits(self, texts: list[bytes | None]) -> list[tuple[int, int, int, int]]:
         """(number of the text, item id, least distance, word at which it starts) of every item found. The texts are searched as one sequence, kept apart by more separators than any allowance."""
-        if not self.sized:
+        if not self.items:
             return []
-        gap = np.full(max(s.most for s in self.sized) + 1, -1, np.int64)
+        widest = int(self.most.max())
+        gap = np.full(widest + 1, -1, np.int64)
         parts = [self.encode(t) for t in texts]
         begin = np.cumsum([0] + [len(p) + len(gap) for p in parts])
-        syms = np.concatenate([x for p in parts for x in (p, gap)] + [np.full(max(s.least + s.most for s in self.sized), -1, np.int64)])
+        syms = np.concatenate([x for p in parts for x in (p, gap)])
         blanks = np.concatenate([[0], np.cumsum(syms <= 0)])
         pairs = self.pairs[(syms[:-1] * PRIME + syms[1:]) & (len(self.pairs) - 1)]
-        misses = np.concatenate([[0], np.cumsum(~pairs), [0]])
-        misses[-1] = misses[-2]
+        misses = np.concatenate([[0], np.cumsum(~pairs)])
+        places = set()
+        for seeds in self.seeds:
+            for item, at in seeds.places(syms, blanks, misses):
+                # what is surely in the stretch: from the last start to the first end
+                n, most = self.sizes[item], self.most[item]
+                lo = at + most
+                hi = np.maximum(at + n - most, lo)
+                lo, hi = np.clip(lo, 0, len(syms)), np.clip(hi, 0, len(syms))
+                ok = blanks[hi] - blanks[lo] <= most
+                ok &= misses[np.maximum(hi - 1, lo).clip(0, len(misses) - 1)] - misses[lo.clip(0, len(misses) - 1)] <= 2 * most
+                places.update(zip(item[ok].tolist(), at[ok].tolist(), strict=True))
         found: dict[tuple[int, int], tuple[int, int]] = {}
-        for sized in self.sized:
-            for at, k in sized.candidates(syms, blanks, misses):
-                (item, s), most = sized.items[k], sized.allow[k]
-                if blanks[at + len(s) - most] - blanks[at] > most:
-                    continue
-                d = edit_distance(s.tolist(), syms[at : at + len(s) + most].tolist(), most)
-                doc = int(np.searchsorted(begin, at, "right")) - 1
-                if d <= most and (d, at - begin[doc]) < found.get((doc, item), (10**9, 0)):
-                    found[doc, item] = (d, int(at - begin[doc]))
+        last, before = 0, -1
+        for k, place in sorted(places):
+            if k != before:
+                item, last, before = self.items[k], 0, k
+                n, most, bits = len(item.syms), item.most, item.bits()
+            sure = syms[max(0, place + most) : max(0, place + n - most)].tolist()
+            if len(sure) - sum(map(bits.__contains__, sure)) > most:
+                continue
+            # starts seen with the place before are not looked at again
+            first, last = max(place - most, last), place + most + 1
+            for at, d in enumerate(item.distances(bits, syms[first : last + n + most].tolist())[: last - first], first):
+                if d <= most and syms[at] > 0:
+                    doc = int(np.searchsorted(begin, at, "right")) - 1
+                    if (d, at - begin[doc]) < found.get((doc, item.item), (10**9, 0)):
+                        found[doc, item.item] = (d, int(at - begin[doc]))
         return [(doc, item, d, at) for (doc, item), (d, at) in sorted(found.items())]
 
 
-def _groups(spark: SparkSession, benchmark: DataFrame, item_text: str, item_key: str, group_items: int, edits: float, repeats: int, min_words: int):
+def _groups(spark: SparkSession, benchmark: DataFrame, item_text: str, item_key: str, group_items: int, edits: float, min_words: int):
     """Broadcast tables of the items, group by group."""
     items = benchmark.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).cast("binary").alias("t")).where("t IS NOT NULL AND i IS NOT NULL")
     count = max(1, -(-items.count() // group_items))
     for g in range(count):
         part = items.where(F.pmod(F.xxhash64("i"), F.lit(count)) == g)
-        yield spark.sparkContext.broadcast(Group([(r["i"], symbols(bytes(r["t"]))) for r in part.toLocalIterator()], edits, repeats, min_words))
+        yield spark.sparkContext.broadcast(Group([(r["i"], symbols(bytes(r["t"]))) for r in part.toLocalIterator()], edits, min_words))
 
 
-def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", edits: float = 0.15, min_words: int = 10, repeats: int = 16, group_items: int = 20_000, slice_rows: int = 256) -> DataFrame:
+def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", edits: float = 0.15, min_words: int = 10, group_items: int = 20_000, slice_rows: int = 256) -> DataFrame:
     """One row for each document and item found in it: key, item_id, distance, at_word."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"))
     out = None
-    for shared in _groups(spark, benchmark, item_text, item_key, group_items, edits, repeats, min_words):
+    for shared in _groups(spark, benchmark, item_text, item_key, group_items, edits, min_words):
 
         def run(batches, shared=shared):
             group = shared.value
@@ -230,10 +260,10 @@ def flag(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, key: str
     return out.select(key, F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.col("b.item_id").alias("item_id"), F.col("b.distance").alias("distance"))
 
 
-def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", item_key: str = "item_id", edits: float = 0.15, min_words: int = 10, repeats: int = 16, group_items: int = 20_000, slice_rows: int = 256) -> DataFrame:
+def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", item_key: str = "item_id", edits: float = 0.15, min_words: int = 10, group_items: int = 20_000, slice_rows: int = 256) -> DataFrame:
     """``docs`` without the rows in which an item is found; rows pass whole, so nothing is shuffled."""
     at = docs.columns.index(text)
-    for shared in _groups(spark, benchmark, item_text, item_key, group_items, edits, repeats, min_words):
+    for shared in _groups(spark, benchmark, item_text, item_key, group_items, edits, min_words):
 
         def run(batches, shared=shared):
             group = shared.value

@@ -284,6 +284,55 @@ def test_decontamination(spark):
     assert decontaminate.flag(spark, df.limit(0), bench).count() == 0
 
 
+def test_decontamination_wherever_the_edits_lie():
+    rng = random.Random(3)
+    vocab = [b"w%d" % k for k in range(300)]
+    for words in (10, 13, 14, 20, 30, 50, 100, 400):
+        items = [[rng.choice(vocab) for _ in range(words)] for _ in range(20)]
+        group = decontaminate.Group(list(enumerate(items)), 0.15, 10)
+        k = int(0.15 * words)
+        places = {"head": range(k), "second": range(1, k + 1), "middle": range(words // 2, words // 2 + k), "end": range(words - k, words), "spread": [i * words // k for i in range(k)]}
+        for edited in places.values():
+            for kind in ("cut", "blank", "other", "added"):
+                texts, wrong = [], []
+                for item in items:
+                    change = {"cut": lambda w: [], "blank": lambda w: [b"zq"], "other": lambda w: [rng.choice(vocab)], "added": lambda w: [w, b"zq"]}[kind]
+                    around = [[rng.choice(vocab) for _ in range(rng.randrange(5))] for _ in range(2)]
+                    text = [x for i, w in enumerate(item) for x in (change(w) if i in edited else [w])]
+                    texts.append(b" ".join([*around[0], *text, *around[1]]))
+                    # one edit more than is allowed, in every block
+                    wrong.append(b" ".join(b"zq" if i in {j * words // (k + 1) for j in range(k + 1)} else w for i, w in enumerate(item)))
+                assert {(d, i) for d, i, _, _ in group.hits(texts)} == {(i, i) for i in range(20)}, (words, kind, edited)
+                assert not group.hits(wrong)
+
+
+def test_decontamination_equals_brute_force():
+    rng = random.Random(4)
+    for edits in (0.0, 0.1, 0.15, 0.3):
+        for _ in range(60):
+            vocab = [b"v%d" % k for k in range(rng.choice([3, 8, 30]))]
+            items = [(i, [rng.choice(vocab) for _ in range(rng.randrange(1, 25))]) for i in range(6)]
+            texts = []
+            for _ in range(5):
+                text = [rng.choice([*vocab, b"zq"]) for _ in range(rng.randrange(40))]
+                item = list(rng.choice(items)[1])
+                for _ in range(rng.randrange(4)):
+                    item[rng.randrange(len(item))] = rng.choice([*vocab, b"zq"])
+                at = rng.randrange(len(text) + 1)
+                texts.append([*text[:at], *item, *text[at:]])
+            want, first = {}, {}
+            for i, ws in items:
+                first.setdefault(tuple(ws), i)
+            for ws, i in first.items():
+                most = int(edits * len(ws)) if len(ws) >= 10 else 0
+                for doc, text in enumerate(texts):
+                    found = [(decontaminate.edit_distance(list(ws), text[at : at + len(ws) + most], most), at) for at, w in enumerate(text) if any(w in x for _, x in items)]
+                    if found and min(found)[0] <= most:
+                        want[doc, i] = min(found)
+            got = decontaminate.Group(items, edits, 10).hits([b" ".join(t) for t in texts] + [None])
+            assert {(doc, i): (d, at) for doc, i, d, at in got} == want
+
+
 def test_edit_distance():
     def plain(a, b):
         best = list(range(len(b) + 1))
