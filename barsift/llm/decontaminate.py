@@ -19,7 +19,8 @@ the least distance from every start in one pass.
 
 Items are handled in groups of at most ``group_items``; one group's tables are
 broadcast at a time, so what is broadcast is bounded whatever the benchmark's
-size. Items of fewer than ``min_words`` words are matched exactly only.
+size. Items of fewer than ``min_words`` words (by default none) are matched exactly
+only.
 
 Defined cases: null and empty texts are clean; null or empty items match
 nothing; repeated items count once (smallest id); extra columns are ignored;
@@ -227,7 +228,7 @@ def _groups(spark: SparkSession, benchmark: DataFrame, item_text: str, item_key:
         yield spark.sparkContext.broadcast(Group([(r["i"], symbols(bytes(r["t"]))) for r in part.toLocalIterator()], edits, min_words))
 
 
-def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", edits: float = 0.15, min_words: int = 10, group_items: int = 20_000, slice_rows: int = 256) -> DataFrame:
+def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", edits: float = 0.15, min_words: int = 0, group_items: int = 20_000, slice_rows: int = 256) -> DataFrame:
     """One row for each document and item found in it: key, item_id, distance, at_word."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"))
@@ -260,7 +261,7 @@ def flag(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, key: str
     return out.select(key, F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.col("b.item_id").alias("item_id"), F.col("b.distance").alias("distance"))
 
 
-def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", item_key: str = "item_id", edits: float = 0.15, min_words: int = 10, group_items: int = 20_000, slice_rows: int = 256) -> DataFrame:
+def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", item_key: str = "item_id", edits: float = 0.15, min_words: int = 0, group_items: int = 20_000, slice_rows: int = 256) -> DataFrame:
     """``docs`` without the rows in which an item is found; rows pass whole, so nothing is shuffled."""
     at = docs.columns.index(text)
     for shared in _groups(spark, benchmark, item_text, item_key, group_items, edits, min_words):

@@ -306,6 +306,26 @@ def test_decontamination_wherever_the_edits_lie():
                 assert not group.hits(wrong)
 
 
+def test_decontamination_of_short_items(spark):
+    rng = random.Random(6)
+    vocab = [f"w{k}" for k in range(1000, 3000)]
+    rng.shuffle(vocab)
+    items, rows, want = [], [], {}
+    for words in range(1, 10):
+        for _ in range(20):
+            i, item = len(items), [vocab.pop() for _ in range(words)]
+            items.append((i, " ".join(item)))
+            for edited in [None, *range(words)]:
+                text = [w if k != edited else "zq" for k, w in enumerate(item)]
+                if edited is None or words >= 7:
+                    want[len(rows)] = i
+                rows.append((len(rows), " ".join(["zq", *text, *(f"w{rng.randrange(1000)}" for _ in range(12))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id: r.item_id for r in decontaminate.flag(spark, df, bench).collect() if r.contaminated} == want
+    assert {r.doc_id for r in decontaminate.drop_contaminated(spark, df, bench).collect()} == {r[0] for r in rows} - set(want)
+
+
 def test_decontamination_equals_brute_force():
     rng = random.Random(4)
     for edits in (0.0, 0.1, 0.15, 0.3):
