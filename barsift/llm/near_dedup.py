@@ -248,7 +248,7 @@ def near_duplicates(
     """One row a document: key, n_shingles, component_id (smallest id reachable over links of ``percent`` Jaccard similarity), kept."""
     similarity = percent / 100
     near = similarity - 5 * math.sqrt(similarity * (1 - similarity) / COORDS)
-    sketch = cut(spark, _sketches(docs, text, key, shingle, trees_for(similarity, recall), similarity), "sketch")
+    sketch = cut(spark, _sketches(docs, text, key, shingle, trees_for(similarity, recall, max_depth), similarity), "sketch")
     classes = cut(spark, sketch.where("n > 0").groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes")
     alone = sketch.where("n > 0").join(classes.select("id"), "id", "left_semi")
 

@@ -202,6 +202,19 @@ def test_trees_reach_recall():
     assert met >= 299
 
 
+@pytest.mark.parametrize("percent, depth", [(80, 3), (85, 3), (80, 1), (85, 4)])
+def test_trees_follow_the_depth(spark, monkeypatch, percent, depth):
+    asked, plain = [], near_dedup.trees_for
+    monkeypatch.setattr(near_dedup, "trees_for", lambda *a: asked.append(plain(*a)) or asked[-1])
+    near_dedup.near_duplicates(spark, corpus.empty(spark), percent=percent, max_depth=depth)
+    similarity, b = percent / 100, 100 / percent
+    miss = 1.0  # of a pair that does not meet below a shared node, from the deepest up
+    for k in range(depth):
+        apart = 1 - similarity * (1 - miss) if k else 1 - similarity
+        miss = (2 - b) * apart + (b - 1) * apart**2
+    assert miss ** asked[0] <= 1e-4 * (1 + 1e-9)
+
+
 # -- language model
 
 
