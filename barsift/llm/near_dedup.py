@@ -34,13 +34,14 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, WordHash, cut, discard, free_shuffles, mix64, words_of
 from .graph import components
 
 COORDS = 128
+BROADCAST_ROWS = 500_000
 _rng = np.random.default_rng(20)
 MULT = _rng.integers(1, 2**63, COORDS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 WEIGHTS = _rng.integers(1, 2**63, 64, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -94,13 +95,18 @@ def trees_for(similarity: float, recall: float, depth: int = 2) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(meet)))
 
 
+def _text_hash(text: str) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.col(text).cast("binary"))
+
+
 def _sketches(docs: DataFrame, text: str, key: str, size: int, trees: int, similarity: float) -> DataFrame:
     roots = mix64(np.arange(1, trees + 1, dtype=U64))
 
     def run(batches):
         hashes = WordHash(200_000)
         for batch in (b.slice(lo, 1_000) for b in batches for lo in range(0, b.num_rows, 1_000)):
-            ids, out = batch.column(0), {"n": [], "fp": [], "mh": [], "nodes": []}
+            ids, text_hash, out = batch.column(0), batch.column(2), {"n": [], "fp": [], "mh": [], "nodes": []}
             for t in batch.column(1):
                 s = shingle_set(t.as_py(), hashes, size)
                 mh = minwise(s)
@@ -108,10 +114,10 @@ def _sketches(docs: DataFrame, text: str, key: str, size: int, trees: int, simil
                 out["fp"].append(xxhash.xxh3_128_digest(s.tobytes()))
                 out["mh"].append(mh.tobytes())
                 out["nodes"].append(children(roots, np.repeat(mh[None], trees, 0), similarity)[1].view(np.int64).tolist() if len(s) else [])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(out["n"], pa.int64()), pa.array(out["fp"], pa.binary()), pa.array(out["mh"], pa.binary()), pa.array(out["nodes"], pa.list_(pa.int64()))], ["id", "n", "fp", "mh", "nodes"])
+            yield pa.RecordBatch.from_arrays([ids, text_hash, pa.array(out["n"], pa.int64()), pa.array(out["fp"], pa.binary()), pa.array(out["mh"], pa.binary()), pa.array(out["nodes"], pa.list_(pa.int64()))], ["id", "h", "n", "fp", "mh", "nodes"])
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("t")).where("id IS NOT NULL")
-    return rows.mapInArrow(run, "id long, n long, fp binary, mh binary, nodes array<long>")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("t"), _text_hash(text).alias("h")).where("id IS NOT NULL")
+    return rows.mapInArrow(run, "id long, h long, n long, fp binary, mh binary, nodes array<long>")
 
 
 def _branch(rows: DataFrame, similarity: float) -> DataFrame:
@@ -233,7 +239,7 @@ def _confirm(size: int, need: int, of: int):
     return run
 
 
-def near_duplicates(
+def _components(
     spark: SparkSession,
     docs: DataFrame,
     *,
@@ -245,7 +251,7 @@ def near_duplicates(
     node_limit: int = 1000,
     max_depth: int = 3,
 ) -> DataFrame:
-    """One row a document: key, n_shingles, component_id (smallest id reachable over links of ``percent`` Jaccard similarity), kept."""
+    """One row a document: id, h (its text's hash), n (shingles), fp (of the set of shingles), component_id."""
     similarity = percent / 100
     near = similarity - 5 * math.sqrt(similarity * (1 - similarity) / COORDS)
     sketch = cut(spark, _sketches(docs, text, key, shingle, trees_for(similarity, recall, max_depth), similarity), "sketch")
@@ -285,11 +291,25 @@ def near_duplicates(
     free_shuffles(spark)
 
     rep = classes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
-    out = sketch.select("id", "n", "fp").join(rep, "fp", "left").withColumn("component_id", F.coalesce("component", "id"))
+    return sketch.select("id", "h", "n", "fp").join(rep, "fp", "left").withColumn("component_id", F.coalesce("component", "id"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
+    """One row a document: key, n_shingles, component_id (smallest id reachable over links of ``percent`` Jaccard similarity), kept."""
+    out = _components(spark, docs, key=key, **options)
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: those whose id is the group's smallest. Rows without an id stay."""
-    gone = near_duplicates(spark, docs, key=key, **options).where("NOT kept").select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col(key).cast("long") == F.col("_gone"), "left_anti")
+def keep_one(spark: SparkSession, docs: DataFrame, *, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the one whose id is the group's smallest. Of repeated rows of that id with equal sets of shingles one stays, the first as JSON; different texts under one id stay. Rows without an id or without words stay."""
+    found = cut(spark, _components(spark, docs, text=text, key=key, **options).where("n > 0").select("id", "h", "fp", (F.col("id") == F.col("component_id")).alias("kept")), "found")
+    gone = found.where("NOT kept").select("id", "h")
+    copies = cut(spark, found.where("kept").groupBy("id", "fp").agg(F.count("*").alias("c"), F.collect_set("h").alias("h")).where("c > 1").select("id", "fp", F.explode("h").alias("h")), "copies")
+    columns = [F.col(c) for c in docs.columns]
+    row = docs.select(F.struct(*columns).alias("row"), F.col(key).cast("long").alias("id"), _text_hash(text).alias("h"))
+    out = row.join(gone.union(copies.select("id", "h")).distinct().hint("merge"), ["id", "h"], "left_anti").select("row")
+    n = copies.count()
+    if n:
+        again = row.join(F.broadcast(copies) if n <= BROADCAST_ROWS else copies.hint("merge"), ["id", "h"])
+        out = out.union(again.groupBy("id", "fp").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
+    return out.select("row.*")
