@@ -176,21 +176,6 @@ def test_near_duplicates_empty_and_keep_one(spark, docs):
     assert len(ids & {100, 101, 102, 103, 104, 105, 110, 111, 112}) == 1 and ids >= {120, 121, 122, 131}
 
 
-def test_keep_one_of_repeated_rows(spark):
-    rng = random.Random(8)
-    alone, copied, other = (corpus.sentence(rng, corpus.EN, 60) for _ in range(3))
-    rows = [(1, alone, "b"), (1, alone, "a"), (1, alone.upper(), "c"), (2, copied, "x"), (2, copied, "x"), (3, copied, "x"), (3, copied, "x")]
-    # another text under an id that goes, repeated; no words; no id
-    rows += [(3, other, "y"), (3, other, "y"), (4, None, "n"), (4, None, "n"), (None, alone, "n"), (None, alone, "n")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
-    got = near_dedup.keep_one(spark, df)
-    assert got.schema == df.schema
-    want = [(1, alone, "c"), (2, copied, "x"), (3, other, "y"), (4, None, "n"), (4, None, "n"), (None, alone, "n"), (None, alone, "n")]
-    left = sorted((tuple(r)[0], r.lang, (r.text or "").lower()) for r in got.where("doc_id IS NOT NULL").collect())
-    assert left == sorted((i, x, (t or "").lower()) for i, t, x in want if i is not None)
-    assert got.where("doc_id IS NULL").count() == 2
-
-
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5), (1, 2), (2, 1)]
