@@ -1,30 +1,44 @@
-"""Benchmark decontamination: exact seeds, lossless filters, exact edit verification.
+"""Benchmark decontamination: CGK walks, bit-sampling LSH, exact edit verification.
 
 Texts and benchmark items become sequences of symbols: words lower-cased (A-Z),
 with ASCII punctuation stripped from both ends. A word of no item is the blank
 symbol. An item is found in a document if some stretch of it is at an edit
 distance, in words, of at most ``floor(edits * words)`` of the item.
 
-Nothing is lost on the way. An item with an allowance of k edits is dealt into
-k + 1 blocks; k edits leave one block at least as it was, wherever they lie, and
-that block is at most k words from its place. So the first ``SEED`` words of
-each block (all of a shorter one) are looked up at every word of a document,
-and each place found names the starts that the item can have there.
-
-Two filters rule out places without loss: of the words surely in the stretch, at
-most k are not the item's; and as an edit spoils at most two pairs of
-neighbouring words, at most 2k pairs are of no item. What is left is verified by
+Embedding. Items fall into size classes whose lengths differ by at most a
+tenth. A window of a class's least length is embedded by a CGK walk (Chakraborty,
+Goldenberg, Koucky): step by step the walk shows the symbol it stands on, and a
+random bit of step and symbol says whether it moves on. Two windows at a small
+edit distance fall into step again after each edit, so their walks differ in few
+places: edit distance becomes Hamming distance. Windows of every start are
+walked, over twice their length in steps, which is what a walk needs to pass
+through.
+
+Search. A repetition has a walk of its own and samples ``BITS`` of its steps
+from the whole walk; a window and an item that agree there are a candidate. The
+number of repetitions follows from ``target_recall``: on a bounded sample of the
+class's own items (``TRIALS``), edited as much as allowed at the head, in the
+middle, at the tail or all over, by replacements, insertions or deletions, the
+chance of a hit a repetition is measured, and repetitions are added until the
+worst of these twelve cases is expected to reach the target. Items without an
+allowance are met in every repetition, so one is enough.
+
+Two lossless filters spare windows that no item can match: at most k of the words
+surely in the stretch are no item's words; and as an edit spoils at most two pairs of
+neighbouring words, at most 2k pairs are of no item. Candidates are verified by
 bit-parallel edit distance (Myers) from the item's end backwards, which gives
-the least distance from every start in one pass.
+the least distance from every start around in one pass.
 
-Items are handled in groups of at most ``group_items``; one group's tables are
-broadcast at a time, so what is broadcast is bounded whatever the benchmark's
-size. Items of fewer than ``min_words`` words (by default none) are matched exactly
-only.
+Items are handled in groups of at most ``group_items`` items and ``GROUP_BYTES``
+of text (or one item); one group's tables are broadcast for each pass over the
+documents, so what is broadcast is bounded whatever the benchmark's size. Equal
+texts are in the same group. Items of fewer than ``min_words`` words (by default
+none) are matched exactly only.
 
 Defined cases: null and empty texts are clean; null or empty items match
 nothing; repeated items count once (smallest id); extra columns are ignored;
-ties in distance go to the smaller item id.
+ties in distance go to the smaller item id; every row is judged by itself, so
+null and repeated ids are results like others; long texts are searched whole.
 """
 
 from __future__ import annotations
@@ -37,9 +51,13 @@ from pyspark.sql import functions as F
 from .common import U64, mix64
 
 STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-SEED = 8
-PLACES = 1_000_000
+BITS = 3
+TRIALS, TRIAL_REPEATS, MOST_REPEATS = 8, 48, 160
+WALKERS = 200_000
+GROUP_BYTES = 32_000_000
 PRIME = 1_000_003
+PLACEMENTS = ("head", "middle", "tail", "spread")
+KINDS = ("replace", "insert", "delete")
 
 
 def symbols(text: bytes | None) -> list[bytes]:
@@ -70,12 +88,9 @@ def edit_distance(a: list, b: list, most: int) -> int:
     return min(min(prev), big)
 
 
-def digest(syms: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
-    """One hash for the words from each start."""
-    h = np.zeros(len(starts), U64)
-    for j in range(words):
-        h = mix64(h * U64(31) + syms[starts + j].view(U64) + U64(7))
-    return h
+def codes_of(syms: np.ndarray) -> np.ndarray:
+    """A random 64-bit code of each symbol."""
+    return mix64(syms.astype(np.int64).view(U64) + U64(0x5DEECE66D))
 
 
 class Item:
@@ -91,12 +106,6 @@ class Item:
             out[s] = out.get(s, 0) | 1 << j
         return out
 
-    def seeds(self) -> list[tuple[int, int]]:
-        """(offset, words) of the blocks' first words."""
-        at = [b * len(self.syms) // (self.most + 1) for b in range(self.most + 2)]
-        words = min(SEED, len(self.syms) // (self.most + 1))
-        return [(o, words) for o in at[:-1]]
-
     def distances(self, bits: dict[int, int], words: list[int]) -> list[int]:
         """From each word, the least edits turning the item into what follows, of any length."""
         m, out = len(self.syms), []
@@ -114,37 +123,117 @@ class Item:
         return out[::-1]
 
 
-class Seeds:
-    """The seeds of one length: sorted hashes, with item and offset of each."""
-
-    def __init__(self, words: int, items: list[Item], found: list[tuple[int, int]]):
-        self.words = words
-        keys = np.concatenate([digest(items[k].syms, np.array([o]), words) for k, o in found])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.item, self.offset = (np.array(x, np.int64)[order] for x in zip(*found, strict=True))
+def edited(item: np.ndarray, most: int, kind: str, placement: str, rng) -> np.ndarray:
+    """``item`` after ``most`` edits of a kind at a placement; new words are blanks (0)."""
+    n = len(item)
+    if placement == "spread":
+        places = rng.choice(n, most, replace=False)
+    else:
+        places = np.arange(most) + {"head": 0, "middle": (n - most) // 2, "tail": n - most}[placement]
+    out = item.tolist()
+    for at in sorted(places.tolist(), reverse=True):
+        out[at : at + 1] = {"replace": [0], "insert": [0, out[at]], "delete": []}[kind]
+    return np.array(out, np.int64)
+
+
+class Walks:
+    """The index of one size class: repetitions of walk and sampled steps, and the items' hashes in each."""
+
+    def __init__(self, items: list[tuple[int, Item]], target_recall: float, seed: int):
+        self.size = min(len(x.syms) for _, x in items)
+        self.most = max(x.most for _, x in items)
+        self.steps = max(1, 2 * self.size)
+        bits = min(BITS, self.steps)
+        while True:
+            self.draw(1 if not self.most else TRIAL_REPEATS, bits, seed)
+            repeats = self.repeats_for(items, bits, target_recall, seed) if self.most else 1
+            if repeats:
+                break
+            bits -= 1  # fewer samples agree more often
+        self.draw(repeats, bits, seed)
+        heads = np.concatenate([x.syms[: self.size] for _, x in items])
+        got = self.walk(codes_of(heads), np.arange(len(items)) * self.size)
+        who = np.tile(np.array([k for k, _ in items], np.int64), len(self.odd))
+        order = np.argsort(got.ravel(), kind="stable")
+        self.keys, self.item = got.ravel()[order], who[order]
+
+    def draw(self, repeats: int, bits: int, seed: int) -> None:
+        rng = np.random.default_rng([seed, self.size])
+        self.odd = rng.integers(1, 2**63, (repeats, self.steps), dtype=np.int64).astype(U64) * U64(2) + U64(1)
+        self.sampled = np.zeros((repeats, self.steps), bool)
+        for r in self.sampled:
+            r[rng.choice(self.steps, bits, replace=False)] = True
+        self.last = int(np.flatnonzero(self.sampled.any(0))[-1])
+
+    def walk(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """(repetitions x starts) hashes of what the walks over codes[start : start + size] show at the sampled steps; past the end they show a pad."""
+        at = np.repeat(starts[None].astype(np.int64), len(self.odd), 0)
+        end = (starts + self.size)[None]
+        padded = np.append(codes, U64(0))
+        out = np.repeat(mix64(np.arange(1, len(self.odd) + 1, dtype=U64))[:, None], len(starts), 1)
+        for j in range(self.last + 1):
+            seen = np.where(at < end, padded[np.minimum(at, len(codes))], U64(1))
+            rows = np.flatnonzero(self.sampled[:, j])
+            if len(rows):
+                out[rows] = mix64(out[rows] * U64(31) + seen[rows])
+            at += ((seen * self.odd[:, j : j + 1]) >> U64(63)).astype(np.int64)
+        return out
 
-    def places(self, syms: np.ndarray, blanks: np.ndarray, misses: np.ndarray):
-        """(item, place of its first word were there no edits) of every seed met, some at a time."""
-        ends = len(syms) - self.words + 1
+    def repeats_for(self, items: list[tuple[int, Item]], bits: int, target_recall: float, seed: int) -> int:
+        """Repetitions that the worst kind and placement of edits needs, from the share of trial repetitions that hit (half a hit added, so that none is not taken for never); 0 if too many, so that fewer samples are better."""
+        rng = np.random.default_rng([seed, self.size, 1])
+        able = [x for _, x in items if x.most]
+        chosen = [able[i] for i in rng.choice(len(able), TRIALS, replace=len(able) < TRIALS)]
+        blank = np.zeros(self.size, np.int64)
+        lines, starts, owner, at = [], [], [], 0
+        trials = [(kind, placement, x) for kind in KINDS for placement in PLACEMENTS for x in chosen]
+        for i, (kind, placement, x) in enumerate(trials):
+            line = np.concatenate([blank, edited(x.syms, x.most, kind, placement, rng), blank])
+            near = np.arange(max(0, self.size - x.most), self.size + x.most + 1)
+            lines.append(line)
+            starts.append(near + at)
+            owner.append(np.full(len(near), i))
+            at += len(line)
+        own = self.walk(codes_of(np.concatenate([x.syms[: self.size] for x in chosen])), np.arange(len(chosen)) * self.size)
+        owner = np.concatenate(owner)
+        met = self.walk(codes_of(np.concatenate(lines)), np.concatenate(starts)) == own[:, owner % len(chosen)]
+        hit = np.logical_or.reduceat(met, np.searchsorted(owner, np.arange(len(trials))), axis=1).mean(0)
+        hit = (hit * len(self.odd) + 0.5) / (len(self.odd) + 1)
+        lost = 1 - hit.reshape(-1, len(chosen))  # by kind and placement
+        repeats = 1
+        while (1 - (lost**repeats).mean(1)).min() < target_recall:
+            repeats += 1 + repeats // 8
+            if repeats > MOST_REPEATS and bits > 1:
+                return 0
+            if repeats > 16 * TRIAL_REPEATS:
+                break
+        return repeats + repeats // 4  # a margin, as the trials are few
+
+    def places(self, syms: np.ndarray, codes: np.ndarray, blanks: np.ndarray, misses: np.ndarray):
+        """(item, start) candidates, some at a time."""
+        # of what is surely in the stretch, few words and pairs are of no item; a window may begin before the text, as an item whose head was cut off there does
+        sure = max(1, self.size - self.most)
+        ends = len(syms) - sure + 1
         if ends < 1:
             return
-        # all words and pairs of a seed are some item's
-        starts = np.flatnonzero((blanks[self.words :] == blanks[:ends]) & (misses[self.words - 1 : self.words - 1 + ends] == misses[:ends]))
-        got = digest(syms, starts, self.words)
-        lo, hi = np.searchsorted(self.keys, got, "left"), np.searchsorted(self.keys, got, "right")
-        met = np.flatnonzero(hi > lo)
-        total = np.cumsum(hi[met] - lo[met])
-        for part in np.split(met, np.searchsorted(total, np.arange(PLACES, total[-1] if len(total) else 0, PLACES))):
-            n = hi[part] - lo[part]
-            at = np.repeat(lo[part] - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(n.sum())
-            yield self.item[at], np.repeat(starts[part], n) - self.offset[at]
+        ok = blanks[sure:] - blanks[:ends] <= self.most
+        ok &= misses[sure - 1 : sure - 1 + ends] - misses[:ends] <= 2 * self.most
+        starts = np.flatnonzero(ok)
+        wide = max(1, WALKERS // len(self.odd))
+        for lo in range(0, len(starts), wide):
+            part = starts[lo : lo + wide]
+            got = self.walk(codes, part).ravel()
+            first, last = np.searchsorted(self.keys, got, "left"), np.searchsorted(self.keys, got, "right")
+            met = np.flatnonzero(last > first)
+            n = last[met] - first[met]
+            at = np.repeat(first[met] - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(n.sum())
+            yield self.item[at], np.repeat(part[met % len(part)], n)
 
 
 class Group:
-    """Items of one group and their seeds; small and broadcast."""
+    """Items of one group and their walks; small and broadcast."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], edits: float, min_words: int):
+    def __init__(self, items: list[tuple[int, list[bytes]]], edits: float, min_words: int, target_recall: float = 0.99, seed: int = 7):
         seen: dict[tuple, int] = {}
         for i, w in sorted(items, key=lambda x: x[0]):
             if w:
@@ -153,11 +242,15 @@ class Group:
         self.items = [Item(i, np.array([self.vocab[x] for x in ws], np.int64), min(len(ws) - 1, int(edits * len(ws))) if len(ws) >= min_words else 0) for ws, i in seen.items()]
         self.sizes = np.array([len(x.syms) for x in self.items], np.int64)
         self.most = np.array([x.most for x in self.items], np.int64)
-        by: dict[int, list] = {}
-        for k, x in enumerate(self.items):
-            for o, words in x.seeds():
-                by.setdefault(words, []).append((k, o))
-        self.seeds = [Seeds(words, self.items, found) for words, found in sorted(by.items())]
+        self.walks: list[Walks] = []
+        order = sorted(range(len(self.items)), key=lambda k: (self.sizes[k], k))
+        while order:
+            # lengths within a tenth, and either all with an allowance or none
+            least, free = self.sizes[order[0]], self.most[order[0]] > 0
+            mine = [k for k in order if self.sizes[k] * 10 <= least * 11 and (self.most[k] > 0) == free]
+            self.walks.append(Walks([(k, self.items[k]) for k in mine], target_recall, seed))
+            taken = set(mine)
+            order = [k for k in order if k not in taken]
         self.memo: dict[bytes, int] = {}
         seqs = [x.syms for x in self.items]
         # a set of neighbouring symbols as a bit table; a false member only costs a look-up
@@ -184,29 +277,24 @@ class Group:
         widest = int(self.most.max())
         gap = np.full(widest + 1, -1, np.int64)
         parts = [self.encode(t) for t in texts]
-        begin = np.cumsum([0] + [len(p) + len(gap) for p in parts])
-        syms = np.concatenate([x for p in parts for x in (p, gap)])
+        begin = np.cumsum([len(gap)] + [len(p) + len(gap) for p in parts])
+        syms = np.concatenate([gap, *(x for p in parts for x in (p, gap))])
+        codes = codes_of(syms)
         blanks = np.concatenate([[0], np.cumsum(syms <= 0)])
         pairs = self.pairs[(syms[:-1] * PRIME + syms[1:]) & (len(self.pairs) - 1)]
         misses = np.concatenate([[0], np.cumsum(~pairs)])
         places = set()
-        for seeds in self.seeds:
-            for item, at in seeds.places(syms, blanks, misses):
-                # what is surely in the stretch: from the last start to the first end
-                n, most = self.sizes[item], self.most[item]
-                lo = at + most
-                hi = np.maximum(at + n - most, lo)
-                lo, hi = np.clip(lo, 0, len(syms)), np.clip(hi, 0, len(syms))
-                ok = blanks[hi] - blanks[lo] <= most
-                ok &= misses[np.maximum(hi - 1, lo).clip(0, len(misses) - 1)] - misses[lo.clip(0, len(misses) - 1)] <= 2 * most
-                places.update(zip(item[ok].tolist(), at[ok].tolist(), strict=True))
+        for walks in self.walks:
+            for item, at in walks.places(syms, codes, blanks, misses):
+                places.update(zip(item.tolist(), at.tolist(), strict=True))
         found: dict[tuple[int, int], tuple[int, int]] = {}
         last, before = 0, -1
         for k, place in sorted(places):
             if k != before:
                 item, last, before = self.items[k], 0, k
                 n, most, bits = len(item.syms), item.most, item.bits()
-            sure = syms[max(0, place + most) : max(0, place + n - most)].tolist()
+            # of the words surely in the stretch, at most ``most`` are not the item's
+            sure = syms[place : place + n - most].tolist()
             if len(sure) - sum(map(bits.__contains__, sure)) > most:
                 continue
             # starts seen with the place before are not looked at again
@@ -219,61 +307,73 @@ class Group:
         return [(doc, item, d, at) for (doc, item), (d, at) in sorted(found.items())]
 
 
-def _groups(spark: SparkSession, benchmark: DataFrame, item_text: str, item_key: str, group_items: int, edits: float, min_words: int):
+def _groups(spark: SparkSession, benchmark: DataFrame, item_text: str, item_key: str, group_items: int, edits: float, min_words: int, target_recall: float):
     """Broadcast tables of the items, group by group."""
     items = benchmark.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).cast("binary").alias("t")).where("t IS NOT NULL AND i IS NOT NULL")
-    count = max(1, -(-items.count() // group_items))
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    count = max(1, -(-n // group_items), -(-size // GROUP_BYTES))
     for g in range(count):
-        part = items.where(F.pmod(F.xxhash64("i"), F.lit(count)) == g)
-        yield spark.sparkContext.broadcast(Group([(r["i"], symbols(bytes(r["t"]))) for r in part.toLocalIterator()], edits, min_words))
+        part = items.where(F.pmod(F.xxhash64("t"), F.lit(count)) == g)
+        yield spark.sparkContext.broadcast(Group([(r["i"], symbols(bytes(r["t"]))) for r in part.toLocalIterator()], edits, min_words, target_recall))
+
+
+def _sliced(batches, slice_rows: int):
+    for b in batches:
+        for lo in range(0, b.num_rows, slice_rows):
+            yield b.slice(lo, slice_rows)
 
 
-def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", edits: float = 0.15, min_words: int = 0, group_items: int = 20_000, slice_rows: int = 256) -> DataFrame:
+def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", edits: float = 0.15, min_words: int = 0, target_recall: float = 0.99, group_items: int = 20_000, slice_rows: int = 512) -> DataFrame:
     """One row for each document and item found in it: key, item_id, distance, at_word."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"))
     out = None
-    for shared in _groups(spark, benchmark, item_text, item_key, group_items, edits, min_words):
+    for shared in _groups(spark, benchmark, item_text, item_key, group_items, edits, min_words, target_recall):
 
         def run(batches, shared=shared):
             group = shared.value
-            for b in batches:
-                keys, items, far, where = [], [], [], []
-                for lo in range(0, b.num_rows, slice_rows):
-                    part = b.slice(lo, slice_rows)
-                    for doc, item, d, at in group.hits(part.column(1).to_pylist()):
-                        keys.append(part.column(0)[doc].as_py())
-                        items.append(item)
-                        far.append(d)
-                        where.append(at)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(items, pa.int64()), pa.array(far, pa.int64()), pa.array(where, pa.int64())], ["k", "item_id", "distance", "at_word"])
+            for part in _sliced(batches, slice_rows):
+                got = group.hits(part.column(1).to_pylist())
+                doc, *rest = zip(*got, strict=True) if got else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc, pa.int64())), *[pa.array(x, pa.int64()) for x in rest]], ["k", "item_id", "distance", "at_word"])
 
         part = rows.mapInArrow(run, f"k {kind}, item_id long, distance long, at_word long")
         out = part if out is None else out.union(part)
     return out.withColumnRenamed("k", key)
 
 
-def flag(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """One row a document: key, contaminated, n_items, item_id and distance of the closest item."""
-    hits = find(spark, docs, benchmark, key=key, **options)
-    best = hits.groupBy(key).agg(F.countDistinct("item_id").alias("n_items"), F.min(F.struct("distance", "item_id")).alias("b"))
-    out = docs.select(key).join(best, key, "left")
-    return out.select(key, F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.col("b.item_id").alias("item_id"), F.col("b.distance").alias("distance"))
+def flag(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", edits: float = 0.15, min_words: int = 0, target_recall: float = 0.99, group_items: int = 20_000, slice_rows: int = 512) -> DataFrame:
+    """One row a row of ``docs``: key, contaminated, n_items, item_id and distance of the closest item. Rows are judged where they stand, nothing is shuffled."""
+    kind = docs.schema[key].dataType.simpleString()
+    schema = f"k {kind}, t binary, n long, item long, far long"
+    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("item"), F.lit(None).cast("long").alias("far"))
+    for shared in _groups(spark, benchmark, item_text, item_key, group_items, edits, min_words, target_recall):
+
+        def run(batches, shared=shared):
+            group = shared.value
+            for part in _sliced(batches, slice_rows):
+                n, item, far = (part.column(c).to_pylist() for c in (2, 3, 4))
+                for doc, i, d, _ in group.hits(part.column(1).to_pylist()):
+                    n[doc] += 1
+                    if far[doc] is None or (d, i) < (far[doc], item[doc]):
+                        far[doc], item[doc] = d, i
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(x, pa.int64()) for x in (n, item, far)]], ["k", "t", "n", "item", "far"])
+
+        rows = rows.mapInArrow(run, schema)
+    return rows.select(F.col("k").alias(key), (F.col("n") > 0).alias("contaminated"), F.col("n").alias("n_items"), F.col("item").alias("item_id"), F.col("far").alias("distance"))
 
 
-def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", item_key: str = "item_id", edits: float = 0.15, min_words: int = 0, group_items: int = 20_000, slice_rows: int = 256) -> DataFrame:
+def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", item_key: str = "item_id", edits: float = 0.15, min_words: int = 0, target_recall: float = 0.99, group_items: int = 20_000, slice_rows: int = 512) -> DataFrame:
     """``docs`` without the rows in which an item is found; rows pass whole, so nothing is shuffled."""
     at = docs.columns.index(text)
-    for shared in _groups(spark, benchmark, item_text, item_key, group_items, edits, min_words):
+    for shared in _groups(spark, benchmark, item_text, item_key, group_items, edits, min_words, target_recall):
 
         def run(batches, shared=shared):
             group = shared.value
-            for b in batches:
-                for lo in range(0, b.num_rows, slice_rows):
-                    part = b.slice(lo, slice_rows)
-                    good = np.ones(part.num_rows, bool)
-                    good[[h[0] for h in group.hits([None if t is None else t.encode() for t in part.column(at).to_pylist()])]] = False
-                    yield part.filter(pa.array(good))
+            for part in _sliced(batches, slice_rows):
+                good = np.ones(part.num_rows, bool)
+                good[[h[0] for h in group.hits([None if t is None else t.encode() for t in part.column(at).to_pylist()])]] = False
+                yield part.filter(pa.array(good))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
