@@ -23,9 +23,9 @@ chance of a hit a repetition is measured, and repetitions are added until the
 worst of these twelve cases is expected to reach the target. Items without an
 allowance are met in every repetition, so one is enough.
 
-Two lossless filters spare windows that no item can match: at most k of the words
-surely in the stretch are no item's words; and as an edit spoils at most two pairs of
-neighbouring words, at most 2k pairs are of no item. Candidates are verified by
+Lossless filters spare windows that no item can match: at most k of the words
+surely in the stretch are no item's words; and as an edit spoils at most two pairs and
+three triples of neighbouring words, at most 2k pairs and 3k triples are of no item. Candidates are verified by
 bit-parallel edit distance (Myers) from the item's end backwards, which gives
 the least distance from every start around in one pass.
 
@@ -43,6 +43,9 @@ null and repeated ids are results like others; long texts are searched whole.
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,10 +55,11 @@ from .common import U64, mix64
 
 STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BITS = 3
-TRIALS, TRIAL_REPEATS, MOST_REPEATS = 8, 48, 160
+TRIALS, TRIAL_REPEATS, MOST_REPEATS = 24, 48, 160
 WALKERS = 200_000
 GROUP_BYTES = 32_000_000
 PRIME = 1_000_003
+NEAR = (2, 3)
 PLACEMENTS = ("head", "middle", "tail", "spread")
 KINDS = ("replace", "insert", "delete")
 
@@ -89,8 +93,16 @@ def edit_distance(a: list, b: list, most: int) -> int:
 
 
 def codes_of(syms: np.ndarray) -> np.ndarray:
-    """A random 64-bit code of each symbol."""
-    return mix64(syms.astype(np.int64).view(U64) + U64(0x5DEECE66D))
+    """A random 32-bit code of each symbol."""
+    return (mix64(syms.astype(np.int64).view(U64) + U64(0x5DEECE66D)) >> U64(32)).astype(np.uint32)
+
+
+def grams(syms: np.ndarray, size: int) -> np.ndarray:
+    """A number for each run of ``size`` neighbouring symbols."""
+    out = np.zeros(len(syms) - size + 1, np.int64)
+    for j in range(size):
+        out = (out ^ out >> 15) * PRIME + syms[j : len(syms) - size + 1 + j]
+    return out
 
 
 class Item:
@@ -159,7 +171,7 @@ class Walks:
 
     def draw(self, repeats: int, bits: int, seed: int) -> None:
         rng = np.random.default_rng([seed, self.size])
-        self.odd = rng.integers(1, 2**63, (repeats, self.steps), dtype=np.int64).astype(U64) * U64(2) + U64(1)
+        self.odd = rng.integers(0, 2**31, (repeats, self.steps), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.sampled = np.zeros((repeats, self.steps), bool)
         for r in self.sampled:
             r[rng.choice(self.steps, bits, replace=False)] = True
@@ -167,16 +179,22 @@ class Walks:
 
     def walk(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """(repetitions x starts) hashes of what the walks over codes[start : start + size] show at the sampled steps; past the end they show a pad."""
-        at = np.repeat(starts[None].astype(np.int64), len(self.odd), 0)
-        end = (starts + self.size)[None]
-        padded = np.append(codes, U64(0))
+        wide = self.size + 1
+        padded = np.append(codes, np.zeros(self.size, np.uint32))
+        cells = np.ones((len(starts), wide), np.uint32)
+        cells[:, :-1] = padded[starts[:, None] + np.arange(self.size)]
+        cells, last = cells.ravel(), np.arange(1, len(starts) + 1, dtype=np.int32) * wide - 1
+        at = np.repeat((last - self.size)[None], len(self.odd), 0)
         out = np.repeat(mix64(np.arange(1, len(self.odd) + 1, dtype=U64))[:, None], len(starts), 1)
         for j in range(self.last + 1):
-            seen = np.where(at < end, padded[np.minimum(at, len(codes))], U64(1))
+            seen = cells.take(at)
             rows = np.flatnonzero(self.sampled[:, j])
             if len(rows):
                 out[rows] = mix64(out[rows] * U64(31) + seen[rows])
-            at += ((seen * self.odd[:, j : j + 1]) >> U64(63)).astype(np.int64)
+            seen *= self.odd[:, j : j + 1]
+            seen >>= np.uint32(31)
+            at += seen.view(np.int32)
+            np.minimum(at, last, out=at)
         return out
 
     def repeats_for(self, items: list[tuple[int, Item]], bits: int, target_recall: float, seed: int) -> int:
@@ -207,9 +225,9 @@ class Walks:
                 return 0
             if repeats > 16 * TRIAL_REPEATS:
                 break
-        return repeats + repeats // 4  # a margin, as the trials are few
+        return repeats
 
-    def places(self, syms: np.ndarray, codes: np.ndarray, blanks: np.ndarray, misses: np.ndarray):
+    def places(self, syms: np.ndarray, codes: np.ndarray, blanks: np.ndarray, misses: list[np.ndarray]):
         """(item, start) candidates, some at a time."""
         # of what is surely in the stretch, few words and pairs are of no item; a window may begin before the text, as an item whose head was cut off there does
         sure = max(1, self.size - self.most)
@@ -217,7 +235,10 @@ class Walks:
         if ends < 1:
             return
         ok = blanks[sure:] - blanks[:ends] <= self.most
-        ok &= misses[sure - 1 : sure - 1 + ends] - misses[:ends] <= 2 * self.most
+        for g, missed in zip(NEAR, misses, strict=True):
+            if sure >= g:
+                within = sure - g + 1
+                ok &= missed[within : within + ends] - missed[:ends] <= g * self.most
         starts = np.flatnonzero(ok)
         wide = max(1, WALKERS // len(self.odd))
         for lo in range(0, len(starts), wide):
@@ -253,10 +274,13 @@ class Group:
             order = [k for k in order if k not in taken]
         self.memo: dict[bytes, int] = {}
         seqs = [x.syms for x in self.items]
-        # a set of neighbouring symbols as a bit table; a false member only costs a look-up
-        self.pairs = np.zeros(1 << max(16, int(np.ceil(np.log2(1 + 16 * sum(map(len, seqs)))))), bool)
+        # sets of neighbouring symbols, two and three, as bit tables; a false member only costs a look-up
+        size = 1 << max(16, int(np.ceil(np.log2(1 + 16 * sum(map(len, seqs))))))
+        self.near = [np.zeros(size, bool) for _ in NEAR]
         for x in seqs:
-            self.pairs[(x[:-1] * PRIME + x[1:]) & (len(self.pairs) - 1)] = True
+            for table, g in zip(self.near, NEAR, strict=True):
+                if len(x) >= g:
+                    table[grams(x, g) & (size - 1)] = True
 
     def encode(self, text: bytes | None) -> np.ndarray:
         """Symbols of a text: 0 for words of no item; what is only punctuation goes."""
@@ -270,6 +294,19 @@ class Group:
         syms = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
         return syms[syms >= 0]
 
+    @staticmethod
+    def stretches(places: list[int], syms: np.ndarray, n: int, most: int, bits: dict) -> list[list[int]]:
+        """[first, last) starts around the candidates of one item, joined where they overlap; without candidates of whose surely matched words more than ``most`` are not the item's."""
+        out: list[list[int]] = []
+        for place in places:
+            sure = syms[max(0, place + most) : place + n - most].tolist()
+            if len(sure) - sum(map(bits.__contains__, sure)) <= most:
+                if out and place - most <= out[-1][1]:
+                    out[-1][1] = place + most + 1
+                else:
+                    out.append([max(0, place - most), place + most + 1])
+        return out
+
     def hits(self, texts: list[bytes | None]) -> list[tuple[int, int, int, int]]:
         """(number of the text, item id, least distance, word at which it starts) of every item found. The texts are searched as one sequence, kept apart by more separators than any allowance."""
         if not self.items:
@@ -281,29 +318,22 @@ class Group:
         syms = np.concatenate([gap, *(x for p in parts for x in (p, gap))])
         codes = codes_of(syms)
         blanks = np.concatenate([[0], np.cumsum(syms <= 0)])
-        pairs = self.pairs[(syms[:-1] * PRIME + syms[1:]) & (len(self.pairs) - 1)]
-        misses = np.concatenate([[0], np.cumsum(~pairs)])
+        misses = [np.concatenate([[0], np.cumsum(~t[grams(syms, g) & (len(t) - 1)])]) if len(syms) >= g else np.zeros(1, np.int64) for t, g in zip(self.near, NEAR, strict=True)]
         places = set()
         for walks in self.walks:
             for item, at in walks.places(syms, codes, blanks, misses):
                 places.update(zip(item.tolist(), at.tolist(), strict=True))
         found: dict[tuple[int, int], tuple[int, int]] = {}
-        last, before = 0, -1
-        for k, place in sorted(places):
-            if k != before:
-                item, last, before = self.items[k], 0, k
-                n, most, bits = len(item.syms), item.most, item.bits()
-            # of the words surely in the stretch, at most ``most`` are not the item's
-            sure = syms[place : place + n - most].tolist()
-            if len(sure) - sum(map(bits.__contains__, sure)) > most:
-                continue
-            # starts seen with the place before are not looked at again
-            first, last = max(place - most, last), place + most + 1
-            for at, d in enumerate(item.distances(bits, syms[first : last + n + most].tolist())[: last - first], first):
-                if d <= most and syms[at] > 0:
-                    doc = int(np.searchsorted(begin, at, "right")) - 1
-                    if (d, at - begin[doc]) < found.get((doc, item.item), (10**9, 0)):
-                        found[doc, item.item] = (d, int(at - begin[doc]))
+        for k, places_of in groupby(sorted(places), key=itemgetter(0)):
+            item = self.items[k]
+            n, most, bits = len(item.syms), item.most, item.bits()
+            for first, last in self.stretches([p for _, p in places_of], syms, n, most, bits):
+                # one pass for candidates that stand together
+                for at, d in enumerate(item.distances(bits, syms[first : last + n + most].tolist())[: last - first], first):
+                    if d <= most and syms[at] > 0:
+                        doc = int(np.searchsorted(begin, at, "right")) - 1
+                        if (d, at - begin[doc]) < found.get((doc, item.item), (10**9, 0)):
+                            found[doc, item.item] = (d, int(at - begin[doc]))
         return [(doc, item, d, at) for (doc, item), (d, at) in sorted(found.items())]
 
 
