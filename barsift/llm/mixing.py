@@ -10,7 +10,7 @@ job and keeps one cell, so eight rounds fix 40 bits.
 
 A source's budget is its weight times the total budget (the input's tokens
 unless given), rounded. It is dealt as whole passes over the source and a
-remainder. Documents fall into 256 blocks a source by a hash of their id; in
+remainder. Documents fall into 4096 blocks a source by a hash of their id; in
 each pass the blocks are permuted by a hash of pass, source and block, and
 documents within a block by a hash of pass and id. The remainder takes whole
 blocks while they fit, then documents of the next block while they fit; a
@@ -19,12 +19,13 @@ block begins, as a share, so ordering by it interleaves the sources.
 
 All of it is DataFrame expressions. Totals are summed by source and block, so a
 source holding most rows is spread over its blocks; the per-source steps see at
-most 256 rows a source, and only the one block that a budget cuts is ordered
+most 4096 rows a source, and only the one block that a budget cuts is ordered
 document by document.
 
 Defined cases: a null source is the source named ''; null or word-less texts
 have 0 tokens, and come with whole passes and with whole blocks; repeated rows
-each count; no rows or no tokens give no rows; columns of any name are kept.
+each count; no rows or no tokens give no rows, and a source whose documents
+have no tokens at all has no share, so none of its rows come; columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from .common import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 BITS, ROUNDS = 5, 8
+BLOCK_DIGITS = 3  # hexadecimal: 4096 blocks a source
 BROADCAST_ROWS = 100_000
 
 
@@ -48,7 +50,7 @@ def _id(key: str) -> Column:
 
 
 def block_of(key: Column) -> Column:
-    return F.substring(F.md5(key.cast("binary")), 1, 2)
+    return F.substring(F.md5(key.cast("binary")), 1, BLOCK_DIGITS)
 
 
 def order_of(*parts: Column) -> Column:
@@ -113,7 +115,7 @@ def mix(spark: SparkSession, docs: DataFrame, *, text: str = "text", key: str =
     rows = docs.select(F.struct("*").alias("row"), _id(key).alias("k"), F.coalesce(F.col(source), F.lit("")).alias("source"), words(F.col(text)).alias("tokens"))
     counts = cut(spark, rows.select("k", "source", "tokens"), "counts")
     chosen = cut(spark, plan(spark, counts, **target), "plan")
-    if chosen.count() <= BROADCAST_ROWS:  # 256 rows a source
+    if chosen.count() <= BROADCAST_ROWS:  # at most 4096 rows a source
         chosen = F.broadcast(chosen)
     met = rows.withColumn("block", block_of(F.col("k"))).join(chosen, ["source", "block"])
     extra = (F.col("takes") == "all") | ((F.col("takes") == "some") & (order_of(F.col("passes"), F.col("k")) <= F.col("last")))
@@ -134,7 +136,7 @@ WITH RECURSIVE counts AS (
   SELECT doc_id, COALESCE(CAST(doc_id AS VARCHAR), '') AS k, COALESCE(source, '') AS source,
          COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens
   FROM documents),
-blocks AS (SELECT source, substr(md5(k), 1, 2) AS block, CAST(SUM(tokens) AS BIGINT) AS tokens FROM counts GROUP BY ALL),
+blocks AS (SELECT source, substr(md5(k), 1, 3) AS block, CAST(SUM(tokens) AS BIGINT) AS tokens FROM counts GROUP BY ALL),
 sources AS (SELECT source, CAST(SUM(tokens) AS BIGINT) AS tokens, ln(SUM(tokens) / (SELECT CAST(SUM(tokens) AS DOUBLE) FROM blocks)) AS lp FROM blocks GROUP BY source HAVING SUM(tokens) > 0),
 bisect AS (
   SELECT 0 AS step, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS width
@@ -157,7 +159,7 @@ placed AS (
 ordered AS (
   SELECT c.doc_id, c.source, c.tokens, p.weight, p.passes, p.rest, p.upto AS block_upto, p.upto - p.tokens AS block_before,
          SUM(c.tokens) OVER (PARTITION BY c.source, p.block ORDER BY md5(passes || ':' || k) RANGE UNBOUNDED PRECEDING) AS inside
-  FROM counts c JOIN placed p ON c.source = p.source AND substr(md5(c.k), 1, 2) = p.block),
+  FROM counts c JOIN placed p ON c.source = p.source AND substr(md5(c.k), 1, 3) = p.block),
 times AS (
   SELECT *, passes + CASE WHEN block_upto <= rest OR (block_before < rest AND block_before + inside <= rest) THEN 1 ELSE 0 END AS n FROM ordered)
 SELECT doc_id, source, tokens AS n_tokens, unnest(range(n)) AS pass, round(weight, 6) AS weight FROM times

@@ -16,8 +16,12 @@ number order. Values are token ids, little-endian, 2 bytes where the vocabulary
 allows and 4 otherwise. ``Reader`` looks keys up by Bloom filter, binary search
 of the sparse index, and a scan of one block; repeated keys are adjacent.
 
-Shards are written under an attempt's name and renamed, so a repeated task
-replaces its own file. All files go to the shared folder.
+The ranges come from Spark's range partitioning; the number of shards follows
+from the bytes and rows of the table, without a cap, and a shard's sparse index,
+Bloom filter and keys are what its writer holds in memory. Each attempt of a task
+writes a file of its own name; the manifest names those of the attempts that
+counted, and other files are deleted. All files go to the shared folder, and
+each shard is read back by a task of its own.
 
 Defined cases: null texts are empty and yield the end id alone; rows without an
 id are left out; repeated ids keep all their rows, in order of their token
@@ -316,12 +320,19 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("/") else fs.FileSystem.from_uri(f"file://{uri}")
 
 
-def _shard_bounds(rows: DataFrame, shards: int) -> list[int]:
-    cuts = rows.agg(F.percentile_approx("k", [i / shards for i in range(1, shards)], 10_000)).first()[0] if shards > 1 else []
-    return sorted(set(cuts or []))
+def _drop_strays(spark: SparkSession, manifest: DataFrame, folder: str) -> None:
+    """Delete files of attempts that did not finish: those that the manifest does not name."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(top):
+        there = [s.getPath().getName() for s in store.listStatus(top) if s.getPath().getName().endswith(".sst")]
+        listed = spark.createDataFrame([(n,) for n in there], "name string")
+        named = manifest.select(F.substring_index("path", "/", -1).alias("name"))
+        for r in listed.join(named, "name", "left_anti").toLocalIterator():
+            store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{r['name']}"), False)
 
 
-def write_shards(spark: SparkSession, docs: DataFrame, folder: str, *, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, end_id: int = 2, shard_rows: int = 8_000, most_shards: int = 10_000, slice_rows: int = 3_000) -> DataFrame:
+def write_shards(spark: SparkSession, docs: DataFrame, folder: str, *, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, end_id: int = 2, shard_bytes: int = 32_000_000, shard_rows: int = 200_000, slice_rows: int = 3_000) -> DataFrame:
     """Write the shards; returns one row a shard: shard, path, rows, tokens, first_key, last_key, start (ids in all shards before)."""
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
     with open(path, encoding="utf-8") as f:
@@ -329,17 +340,16 @@ def write_shards(spark: SparkSession, docs: DataFrame, folder: str, *, text: str
     top = max([*model["model"]["vocab"].values(), *(t["id"] for t in model["added_tokens"]), end_id])
     width = 2 if top < 65_536 else 4
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("k IS NOT NULL")
-    total = rows.count()
-    bounds = _shard_bounds(rows.select("k"), min(most_shards, max(1, -(-total // shard_rows))))
-    # position among the sorted bounds, as the count of those below
-    shard = F.size(F.filter(F.lit(bounds), lambda b: b < F.col("k"))) if bounds else F.lit(0)
-    dealt = rows.withColumn("s", shard.cast("int")).repartitionById(len(bounds) + 1, F.col("s")).sortWithinPartitions("k")
+    total, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    shards = max(1, -(-total // shard_rows), -(-size // shard_bytes))
+    # ranges of ids from Spark's own sampling: equal ids are always in one
+    dealt = rows.repartitionByRange(shards, "k").sortWithinPartitions("k")
     end = np.array([end_id], "<u2" if width == 2 else "<u4").tobytes()
 
     def run(batches):
         store, top = open_store(folder)
         store.create_dir(top, recursive=True)
-        name = writer = out = None
+        writer = out = None
         encoder = encoder_for(path, width)
         held: list[tuple[int, bytes]] = []
         ends = [None, None]
@@ -356,30 +366,35 @@ def write_shards(spark: SparkSession, docs: DataFrame, folder: str, *, text: str
             held = held[n:]
 
         number = TaskContext.get().partitionId()
-        for b in batches:
-            for lo in range(0, b.num_rows, slice_rows):
-                part = b.slice(lo, slice_rows)
-                keys = part.column(0).to_pylist()
-                if not keys:
-                    continue
-                if writer is None:
-                    number = part.column(2)[0].as_py()
-                    name = f"{top}/{number:06d}.sst"
-                    temp = f"{name}.{uuid.uuid4().hex}"
-                    out = store.open_output_stream(temp)
-                    writer = Writer(out, width)
-                    ends[0] = keys[0]
-                ends[1] = keys[-1]
-                held += [(k, v + end) for k, v in zip(keys, encoder.encode(part.column(1)), strict=True)]
-                put(False)
+        name = f"{number:07d}-{uuid.uuid4().hex}.sst"
+        try:
+            for b in batches:
+                for lo in range(0, b.num_rows, slice_rows):
+                    part = b.slice(lo, slice_rows)
+                    keys = part.column(0).to_pylist()
+                    if not keys:
+                        continue
+                    if writer is None:
+                        out = store.open_output_stream(f"{top}/{name}")
+                        writer = Writer(out, width)
+                        ends[0] = keys[0]
+                    ends[1] = keys[-1]
+                    held += [(k, v + end) for k, v in zip(keys, encoder.encode(part.column(1)), strict=True)]
+                    put(False)
+            if writer is not None:
+                put(True)
+                writer.close()
+                out.close()
+        except BaseException:
+            if writer is not None:
+                out.close()
+                store.delete_file(f"{top}/{name}")
+            raise
         if writer is not None:
-            put(True)
-            writer.close()
-            out.close()
-            store.move(temp, name)
-            yield pa.RecordBatch.from_pylist([{"shard": number, "path": f"{folder}/{number:06d}.sst", "rows": writer.count, "tokens": writer.tokens, "first_key": ends[0], "last_key": ends[1]}])
+            yield pa.RecordBatch.from_pylist([{"shard": number, "path": f"{folder}/{name}", "rows": writer.count, "tokens": writer.tokens, "first_key": ends[0], "last_key": ends[1]}])
 
-    manifest = cut(spark, dealt.select("k", "t", "s").mapInArrow(run, "shard long, path string, rows long, tokens long, first_key long, last_key long"), "manifest")
+    manifest = cut(spark, dealt.mapInArrow(run, "shard long, path string, rows long, tokens long, first_key long, last_key long"), "manifest")
+    _drop_strays(spark, manifest, folder)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
@@ -401,8 +416,9 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                         start += len(ids)
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, starts, sizes, crcs)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # a window over the shards leaves them in one partition: deal them out again
-    shards = manifest.select("path", "start").repartition(F.col("path"))
+    # a window over the shards leaves them in one partition: one task each, by number, which the engine does not coalesce
+    at = manifest.agg(F.max("shard")).first()[0]
+    shards = manifest.repartitionById(1 + (at or 0), F.col("shard").cast("int")).select("path", "start")
     return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
