@@ -55,20 +55,20 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents enter with an estimate of their words; exact counts follow as revisions, a second tokenizer version as inserts, toxic documents as deletes. One batch is delivered twice."""
+    """Documents enter with an estimate of their tokens; exact counts of a public tokenizer follow as revisions, a second version (ids of raw bytes) as inserts, toxic documents as deletes. One batch is delivered twice."""
     docs = table(spark, sf_dir, "documents")
     toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
-    counted = docs.select("doc_id", "source", "lang", F.ceil(F.coalesce("n_chars", F.lit(0)) / 6).alias("old"), mixing.words(F.col("text")).alias("words"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
-    counted = cut(spark, counted, "counted")
-    words = counted.withColumn("version", F.lit("words"))
+    counted = docs.select("doc_id", "source", "lang", F.ceil(F.coalesce("n_chars", F.lit(0)) / 6).cast("long").alias("old"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), "text")
+    counted = cut(spark, token_counts.token_counts(counted), "counted")
+    bpe = counted.withColumn("version", F.lit("byte_bpe_50k"))
     octets = counted.withColumn("version", F.lit("bytes")).withColumn("n", F.col("bytes"))
     ledger = token_counts.Ledger(spark, shared_path(spark, "ledger"))
-    ledger.apply("load", token_counts.inserts(words.withColumn("n", F.col("old"))))
-    ledger.apply("exact", token_counts.revisions(words.withColumn("n", F.col("words"))))
+    ledger.apply("load", token_counts.inserts(bpe.withColumn("n", F.col("old"))))
+    ledger.apply("exact", token_counts.revisions(bpe))
     ledger.apply("bytes", token_counts.inserts(octets))
-    ledger.apply("exact", token_counts.revisions(words.withColumn("n", F.col("words"))))
-    gone = words.withColumn("n", F.col("words")).unionByName(octets.select(*octets.columns), allowMissingColumns=True)
-    ledger.apply("toxic", token_counts.deletes(gone.join(toxic, "doc_id", "left_semi")))
+    ledger.apply("exact", token_counts.revisions(bpe))
+    ledger.compact()
+    ledger.apply("toxic", token_counts.deletes(bpe.unionByName(octets).join(toxic, "doc_id", "left_semi")))
     return ledger.totals()
 
 
@@ -90,11 +90,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.SQL,
     "op6_mixing": mixing.SQL.replace("{max_repeat}", str(MAX_REPEAT)),
-    "op10_token_counts": r"""
-        SELECT source, lang, version, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens
-        FROM (SELECT doc_id, source, lang, 'words' AS version, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n FROM documents
-              UNION ALL
-              SELECT doc_id, source, lang, 'bytes', COALESCE(strlen(text), 0) FROM documents)
-        WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
-        GROUP BY ALL""",
 }

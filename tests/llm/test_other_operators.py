@@ -278,6 +278,37 @@ def test_ledger(spark, docs):
         ledger.apply("../x", token_counts.inserts(df))
 
 
+def test_ledger_of_two_writers(spark):
+    folder = shared_path(spark, "ledger")
+    df = spark.createDataFrame([("a", "en", "v1", 10)], "source string, lang string, version string, n long")
+    one, two = token_counts.Ledger(spark, folder), token_counts.Ledger(spark, folder)
+    two.batches = list  # has looked before the other committed
+    assert one.apply("b1", token_counts.inserts(df)) and not two.apply("b1", token_counts.inserts(df))
+    assert [tuple(r) for r in one.totals().collect()] == [("a", "en", "v1", 1, 10)]
+    two._snapshot = lambda: (0, None)
+    assert one.compact() and not two.compact()
+    assert not two.apply("b1", token_counts.inserts(df))
+    assert [tuple(r) for r in one.totals().collect()] == [("a", "en", "v1", 1, 10)]
+
+
+def test_token_counts_query_equals_brute_force(spark, docs, tmp_path):
+    from barsift.llm import queries
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    toxic = {0, 5, 100, 120, 130}
+    spark.createDataFrame([*[(i, 1) for i in toxic], (0, 1), (None, 1), (7, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    want: dict = {}
+    for r in docs.collect():
+        if r.doc_id in toxic:
+            continue
+        for version, n in (("byte_bpe_50k", len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)), ("bytes", len((r.text or "").encode()))):
+            d, t = want.get((r.source, r.lang, version), (0, 0))
+            want[r.source, r.lang, version] = (d + 1, t + n)
+    got = {(r.source, r.lang, r.version): (r.docs, r.tokens) for r in queries.op10_token_counts(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 # -- the pipeline
 
 
