@@ -67,6 +67,80 @@ def test_forward_sums_all_segmentations():
             np.testing.assert_allclose(language_id.forward(spans, n, p, backward=True)[0][j], all_ways(words[i]))
 
 
+TOY = [bytes([b]) for b in range(256)] + [b" a", b"ab", b" ab", b"bb", b"abb", b"ba" * 40]
+
+
+def all_segmentations(word):
+    if not word:
+        return [[]]
+    return [[word[:k], *rest] for k in range(1, len(word) + 1) if word[:k] in TOY for rest in all_segmentations(word[k:])]
+
+
+def test_fit_equals_brute_force():
+    pieces = sorted(TOY)
+    counts = [{b" abb": 3, b" ab": 1}, {b" bba": 2, b" ab": 5, b" c": 1}]
+    got = language_id.fit_pieces(counts, pieces, rounds=2, smooth=0.1)
+    for lang, words in enumerate(counts):
+        p = {x: np.exp(1.5 * (min(len(x), 12) - 1)) for x in pieces}
+        p = {x: v / sum(p.values()) for x, v in p.items()}
+        for _ in range(2):
+            expected = dict.fromkeys(pieces, 0.1)
+            for w, n in words.items():
+                ways = [(np.prod([p[x] for x in way]), way) for way in all_segmentations(w)]
+                for chance, way in ways:
+                    for x in way:
+                        expected[x] += n * chance / sum(c for c, _ in ways)
+            p = {x: v / sum(expected.values()) for x, v in expected.items()}
+        np.testing.assert_allclose(got[:-1, lang], [p[x] for x in pieces])
+
+
+def test_scores_equal_brute_force_at_any_length():
+    pieces = sorted(TOY)
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet(np.ones(len(pieces)), 2).T
+    p = np.vstack([p, np.zeros(2)])
+    prior = np.log([0.3, 0.7])
+    scorer = language_id.Scorer(["x", "y"], prior, p, pieces)
+
+    def log_of(word):
+        """Forward sums in exact logarithms, one byte at a time."""
+        a = [np.zeros(2)]
+        for i in range(1, len(word) + 1):
+            terms = [a[j] + np.log(p[pieces.index(word[j:i])]) for j in range(max(0, i - 80), i) if word[j:i] in TOY]
+            a.append(np.logaddexp.reduce(terms))
+        return a[-1]
+
+    texts = ["abb ab", "ABB\tc", "q" * 63, "z" * 64, "ba" * 60, "ab" * 500 + " abb", "é" * 40]
+    for text, (lang, score) in zip(texts, scorer.score(texts), strict=True):
+        total = prior + sum(log_of(b" " + w) for w in text.lower().encode().split())
+        share = np.exp(total - np.logaddexp(*total))
+        assert lang == ["x", "y"][int(total.argmax())]
+        np.testing.assert_allclose(score, share.max(), rtol=1e-9)
+        for w in text.lower().encode().split():
+            np.testing.assert_allclose(scorer.logs[scorer.row[w]], log_of(b" " + w), rtol=1e-9)
+    assert [x for x, _ in scorer.score(["", None, "123", "é"])][:3] == ["und"] * 3
+
+
+def test_ties_and_repeated_rows_of_language_id():
+    pieces = sorted(TOY)
+    p = np.vstack([np.full((len(pieces), 2), 1 / len(pieces)), np.zeros(2)])
+    scorer = language_id.Scorer(["aa", "bb"], np.log([0.5, 0.5]), p, pieces)
+    assert scorer.score(["word", "word", "x" * 300]) == [("aa", 0.5)] * 3
+
+
+def test_scorers_are_kept_by_model():
+    pieces = sorted(TOY)
+    seen = set()
+    for k in range(20):
+        p = np.vstack([np.random.default_rng(k).dirichlet(np.ones(len(pieces)), 2).T, np.zeros(2)])
+        model = {"name": f"m{k}", "langs": ["x", "y"], "prior": np.zeros(2), "p": p, "pieces": pieces}
+        scorer = language_id.scorer_for(model)
+        assert (scorer.p == p).all() and language_id.scorer_for(dict(model)) is scorer
+        seen.add(scorer.score(["abb ab c"])[0][1])
+        del model
+    assert len(seen) == 20
+
+
 # -- line dedup
 
 
