@@ -20,7 +20,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_recurring(spark, table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("kept_md5")).where("kept_md5 IS NOT NULL")
+    return kept.select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

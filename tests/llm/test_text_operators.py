@@ -144,53 +144,76 @@ def test_scorers_are_kept_by_model():
 # -- line dedup
 
 
-def brute_lines(rows, min_tokens=4, min_docs=3):
-    """The tree, read off the definition."""
+def brute_lines(rows, min_docs=3):
+    """The tree, read off the definition: (row, line) of what goes. A document is its id and text."""
     def mask(t):
         return "<*>" if any(c in "0123456789" for c in t) else t
 
     lines = defaultdict(list)
-    for i, t in rows:
+    for r, (i, t) in enumerate(rows):
         for pos, line in enumerate((t or "").split("\n") if t is not None else []):
             tk = [x.decode() for x in line.encode().split()]
-            if len(tk) >= min_tokens:
-                lines[(len(tk), *map(mask, tk[:3]))].append((i, pos, tuple(tk)))
+            if tk:
+                lines[(len(tk), *map(mask, tk[:3]))].append((r, (i, t), pos, tuple(tk)))
     gone = set()
     for found in lines.values():
         kinds = sorted({tk for *_, tk in found})
-        general = set()
-        if len(kinds) > 1:
-            usual = []
-            for p in range(len(kinds[0])):
-                c = Counter(mask(k[p]) for k in kinds)
-                token, n = min(c.items(), key=lambda x: (-x[1], x[0]))
-                usual.append(token if n >= 0.5 * len(kinds) else None)
-            general = {k for k in kinds if sum(mask(a) == b for a, b in zip(k, usual, strict=True)) >= 0.7 * len(k)}
+        columns = [Counter(mask(k[p]) for k in kinds) for p in range(len(kinds[0]))]
+        usual = [min(c.items(), key=lambda x: (-x[1], x[0])) for c in columns]
         by = defaultdict(list)
-        for i, pos, tk in found:
-            by["" if tk in general else tk].append((i, pos))
+        for r, doc, pos, tk in found:
+            masked = list(map(mask, tk))
+            by["line", tk].append((r, doc, pos))
+            if len(kinds) > 1 and sum(a == b and n >= 0.5 * len(kinds) for a, (b, n) in zip(masked, usual, strict=True)) >= 0.7 * len(tk):
+                by["usual"].append((r, doc, pos))
+            pattern = tuple(a if c[a] >= min_docs else None for a, c in zip(masked, columns, strict=True))
+            if len(kinds) > 1 and len(tk) - pattern.count(None) >= 0.7 * len(tk):
+                by["pattern", pattern].append((r, doc, pos))
         for places in by.values():
-            if len({i for i, _ in places}) >= min_docs:
-                gone |= set(places)
+            if len({doc for _, doc, _ in places}) >= min_docs:
+                gone |= {(r, pos) for r, _, pos in places}
     return gone
 
 
-def test_line_dedup(spark, docs):
-    extra = [(200 + j, f"a line of its own {j}\nJob {j} ended with code {j * 7} in {j}ms\nlast words here alone {j}x{j}", "en", "s0") for j in range(5)]
-    extra += [(300 + j, "All rights are reserved by us\nkeep\tthis  one " + "abcdefgh"[j] * 4 + " line", "en", "s0") for j in range(4)]
-    df = corpus.documents(spark, extra=extra)
-    source = {i: t for i, t, *_ in [*corpus.rows(), *extra]}
-    gone = brute_lines(source.items())
-    got = {r.doc_id: r for r in line_dedup.drop_recurring(spark, df).collect()}
-    assert len(got) == len(source)
-    for i, t in source.items():
+def check_lines(spark, rows):
+    gone = brute_lines(rows)
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, leaf string")
+    want = []
+    for r, (i, t) in enumerate(rows):
         lines = t.split("\n") if t is not None else []
-        assert got[i].text == (None if t is None else "\n".join(x for p, x in enumerate(lines) if (i, p) not in gone)), i
-        assert got[i].n_dropped == sum((i, p) in gone for p in range(len(lines))) and got[i].n_lines == len(lines)
-    assert (200, 1) in gone and (300, 0) in gone
+        want.append((i, None if t is None else "\n".join(x for p, x in enumerate(lines) if (r, p) not in gone), len(lines), sum((r, p) in gone for p in range(len(lines)))))
+    assert Counter(map(tuple, line_dedup.drop_recurring(spark, df).collect())) == Counter(want)
+    return gone
+
+
+def test_line_dedup(spark, docs):
+    extra = [(200 + j, f"a line of its own {j}\nJob {j} ended with code {j * 7} in {j}ms\nlast words here alone {j}x{j}") for j in range(5)]
+    extra += [(300 + j, "All rights are reserved by us\nkeep\tthis  one " + "abcdefgh"[j] * 4 + " line") for j in range(4)]
+    extra += [(400 + j, f"All rights reserved.\nPage {j}\nonly{'abc'[j]} here") for j in range(3)]
+    rows = [(i, t) for i, t, *_ in corpus.rows()] + extra
+    gone = check_lines(spark, rows)
+    at = {i: r for r, (i, _) in enumerate(rows)}
+    assert {(at[200], 1), (at[300], 0), (at[400], 0), (at[400], 1)} <= gone and (at[400], 2) not in gone
     assert line_dedup.drop_recurring(spark, corpus.empty(spark)).count() == 0
 
 
+def test_line_dedup_of_ids_that_repeat_or_are_null(spark):
+    rows = [(1, "this line is everywhere here\nfirst own line"), (1, "second own line\nthis line is everywhere here"), (None, "this line is everywhere here\nthird"), (None, "this line is everywhere here\nthird"), (2, None), (2, ""), (None, None)]
+    assert check_lines(spark, rows) == {(0, 0), (1, 1), (2, 0), (3, 0)}
+
+
+def test_line_dedup_of_many_templates_in_a_leaf(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for j in range(120):
+        # two recurring templates among many lines of the same opening
+        line = ("we are now opening the door of {} again today", "we are now sending a letter to {} every week", "we are now {} {} {} {} {} {} {}")[min(j % 8, 2)]
+        rows.append((j, line.format(*(word() for _ in range(7)))))
+    gone = check_lines(spark, rows)
+    assert {r for r, _ in gone} == {j for j in range(120) if j % 8 < 2}
+
+
 # -- near-duplicates
 
 
