@@ -1,21 +1,28 @@
 """Approximate nearest neighbours: hierarchical k-means tree, best-bin-first.
 
 Vectors are brought to unit length, where nearness by cosine is nearness by
-distance. A tree is fitted on a bounded sample (``sample_rows``) by recursive
-k-means of ``branch`` centres, down to leaves of the wished size. Every row is
-indexed: it descends to the leaf of the nearest centre at each level. A query
-visits leaves best bin first: a priority queue holds branches by the angle
-between the query and their centres, and the best is opened next.
+distance. The top of the tree is fitted on a bounded sample (``sample_rows``) by
+recursive k-means of ``branch`` centres, down to leaves of the wished size. Every
+row is indexed: it descends to the leaf of the nearest centre at each level. The
+tree grows with the table: leaves of more than ``grow_rows`` rows are fitted again,
+each on a bounded sample of its own rows and on executors, and their rows descend
+further, until no leaf is larger (or its vectors are all equal). Grown parts stay
+in tables; only the top is broadcast.
+
+A query visits leaves best bin first: a priority queue holds branches by the
+distance between the query and their centres, and the best is opened next. Where
+leaves were grown, a query keeps its best ``visits`` bins of all it has met at each
+level.
 
 How many leaves a query visits is calibrated: a bounded set of calibration
 queries is answered by brute force over all rows, and the number of leaves is
-widened by half until their recall reaches ``recall``. Queries then meet the
-rows of their leaves in one shuffle by leaf; leaves are dealt to chunks of at
-most ``chunk_rows`` rows, so a large leaf is many tasks. Each chunk keeps a query's ``k`` best, ties to
-smaller ids, and a second, pre-aggregated step keeps the best of those.
+widened until their recall reaches ``recall``. Queries then meet the
+rows of their leaves in one shuffle by leaf; leaves are dealt to chunks of about
+``chunk_rows`` rows, so a large leaf is many tasks. Each chunk keeps a query's ``k`` best, ties to
+smaller ids, and a second step keeps the best of those.
 
-Of equal vectors only the k + 1 smallest ids can be among anyone's k nearest
-(ties go to smaller ids, and one may be the query itself), so a batch of the
+Of equal vectors only the k + 1 smallest different ids can be among anyone's k nearest
+(ties go to smaller ids, and one may be the query's), so a batch of the
 index keeps no more of them: copies of one vector do not pile up in a leaf.
 
 Scores are cosines of the original vectors in double precision, computed in
@@ -25,19 +32,24 @@ Defined cases: vectors that are null, empty, of another length than most, zero,
 or hold null or non-finite components take no part as query or candidate; no
 rows give no rows; a query with fewer candidates than ``k`` gets them all (it
 visits every leaf when the table has at most ``k`` times the leaves' number of
-rows); repeated rows are candidates each; extra columns are ignored.
+rows); rows that share an id are one candidate and one query, at the best score
+that any of their vectors gives; rows without an id take no part; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard, mix64
+
+BROADCAST_LEAVES = 100_000
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -96,11 +108,11 @@ class Tree:
                 todo += [(child, rows[near == j]) for j, child in enumerate(node[1])]
         return out
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """Leaves best bin first."""
-        queue, out, n = [(0.0, 0, self.root)], [], 0
+    def visit(self, q: np.ndarray, most: int) -> tuple[list[int], list[float]]:
+        """Leaves best bin first, and the distance of each one's centre."""
+        queue, out, far_out, n = [(0.0, 0, self.root)], [], [], 0
         while queue and len(out) < most:
-            _, _, node = heapq.heappop(queue)
+            dist, _, node = heapq.heappop(queue)
             while not isinstance(node, int):
                 far = ((node[0] - q) ** 2).sum(1)
                 best = int(far.argmin())
@@ -108,9 +120,10 @@ class Tree:
                     if j != best:
                         n += 1
                         heapq.heappush(queue, (float(far[j]), n, child))
-                node = node[1][best]
+                dist, node = float(far[best]), node[1][best]
             out.append(node)
-        return out
+            far_out.append(dist)
+        return out, far_out
 
 
 def _clean(vectors: DataFrame, key: str, column: str) -> DataFrame:
@@ -126,30 +139,38 @@ def matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
 
 
 def telling(ids: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
-    """Rows that can be an answer: of each distinct vector the ``most`` smallest ids."""
+    """Rows that can be an answer: of each distinct vector the ``most`` smallest different ids, once each."""
     kinds = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
-    _, kind, count = np.unique(kinds, return_inverse=True, return_counts=True)
-    if count.max() <= most:
-        return np.arange(len(ids))
+    _, kind = np.unique(kinds, return_inverse=True)
     order = np.lexsort((ids, kind))
-    place = np.arange(len(ids)) - np.repeat(np.cumsum(count) - count, count)
+    k, i = kind[order], ids[order]
+    order = order[np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1])])]
+    k = kind[order]
+    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    place = np.arange(len(k)) - np.repeat(begin, np.diff(np.append(begin, len(k))))
     return np.sort(order[place < most])
 
 
 def best(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query, id, cosine) of each query's k best among the rows, its own id left out. One dot product a pair by einsum, so a pair's score does not depend on its block."""
+    """(query, id, cosine) of each query's k best ids among the rows, its own id left out. One dot product a pair by einsum, so a pair's score does not depend on its block."""
     out = []
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    names = ids[first]
     nx = np.sqrt(np.einsum("ij,ij->i", x, x))
     for i in range(len(q)):
         s = np.einsum("ij,j->i", x, q[i]) / (nx * np.sqrt(np.einsum("j,j->", q[i], q[i])))
-        s[ids == qid[i]] = -np.inf
+        if len(first) < len(ids):
+            s = np.maximum.reduceat(s, first)
+        s[names == qid[i]] = -np.inf
         if len(s) > 4 * k:
             edge = np.partition(s, len(s) - k)[len(s) - k]
             rows = np.flatnonzero(s >= edge)
         else:
             rows = np.arange(len(s))
-        rows = rows[np.lexsort((ids[rows], -s[rows]))][:k]
-        out += [(int(qid[i]), int(ids[r]), float(s[r])) for r in rows if s[r] > -np.inf]
+        rows = rows[np.lexsort((names[rows], -s[rows]))][:k]
+        out += [(int(qid[i]), int(names[r]), float(s[r])) for r in rows if s[r] > -np.inf]
     return out
 
 
@@ -172,12 +193,100 @@ def _brute(rows: DataFrame, qid: np.ndarray, q: np.ndarray, k: int, size: int) -
 
 def _top(found: DataFrame, k: int) -> DataFrame:
     """Each query's k best of the chunks' bests. A query has k rows a chunk it visited, so its list is bounded by the visits."""
+    ids = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best_first = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
-    lists = found.groupBy("query_id").agg(best_first.alias("b"))
+    lists = ids.groupBy("query_id").agg(best_first.alias("b"))
     return lists.select("query_id", F.posexplode("b").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
 
 
-def search(spark: SparkSession, vectors: DataFrame, *, key: str = "vec_id", column: str = "embedding", every: int = 50, k: int = 5, recall: float = 0.98, sample_rows: int = 20_000, branch: int = 16, leaf_rows: int = 400, chunk_rows: int = 4_000, calibrate: int = 100) -> DataFrame:
+def _mixed(leaf: np.ndarray | int, below: np.ndarray) -> np.ndarray:
+    """The number of a leaf below a leaf that was grown."""
+    above = np.asarray(leaf, np.int64).view(np.uint64)
+    return mix64(np.atleast_1d(mix64(np.atleast_1d(above)) ^ (np.asarray(below).astype(np.uint64) + np.uint64(1)))).view(np.int64)
+
+
+def _runs(batches, keys: int):
+    """Runs of equal leading columns out of sorted batches, batch by batch: (key, batch slice)."""
+    for b in batches:
+        if b.num_rows:
+            cols = [b.column(i).to_numpy() for i in range(keys)]
+            change = np.flatnonzero(np.logical_or.reduce([np.diff(c) != 0 for c in cols])) + 1
+            for lo, hi in zip([0, *change], [*change, b.num_rows], strict=True):
+                yield tuple(c[lo] for c in cols), b.slice(lo, hi - lo)
+
+
+class Grown:
+    """One level of grown leaves: a table (leaf, tree), and how rows and queries descend through it."""
+
+    def __init__(self, spark: SparkSession, rows: DataFrame, large: DataFrame, *, size: int, sample_rows: int, branch: int, leaf_rows: int, chunk_rows: int):
+        self.spark, self.size, self.chunk_rows = spark, size, chunk_rows
+        self.parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        share = F.least(F.lit(1.0), F.lit(float(sample_rows)) / F.col("n"))
+        drawn = rows.join(large, "leaf").where(F.pmod(F.xxhash64("id", "v", F.lit(3)), F.lit(2**30)) < share * F.lit(2**30))
+
+        def fit(table: pa.Table) -> pa.Table:
+            x = unit(matrix(table.column("v").combine_chunks(), size))
+            n = table.column("n")[0].as_py()
+            tree = Tree(x[np.lexsort(x.T[::-1])], branch, int(leaf_rows * len(x) / n), seed=table.column("leaf")[0].as_py() % 2**32)
+            return pa.table({"leaf": table.column("leaf")[:1], "n": pa.array([n], pa.int64()), "tree": pa.array([pickle.dumps(tree) if tree.leaves > 1 else None], pa.binary())})
+
+        fitted = drawn.groupBy("leaf").applyInArrow(fit, "leaf long, n long, tree binary")
+        self.trees = cut(spark, fitted.where("tree IS NOT NULL"), "trees")
+
+    def _met(self, rows: DataFrame) -> DataFrame:
+        """(leaf, chunk, kind, id, v, tree): each tree before its rows, chunk by chunk."""
+        chunks = self.trees.select("leaf", F.ceil(F.col("n") / self.chunk_rows).cast("int").alias("chunks"), "tree")
+        held = rows.join(chunks.select("leaf", "chunks"), "leaf").select("leaf", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), F.lit(1).alias("kind"), "id", "v", F.lit(None).cast("binary").alias("tree"))
+        copies = chunks.select("leaf", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"), "tree")
+        both = copies.select(copies.leaf, F.col("chunk").cast("long").alias("chunk"), "kind", "id", "v", "tree").unionByName(held.select("leaf", F.col("chunk").cast("long").alias("chunk"), "kind", "id", "v", "tree"))
+        return both.repartition(self.parts, "leaf", "chunk").sortWithinPartitions("leaf", "chunk", "kind")
+
+    def descend(self, rows: DataFrame) -> DataFrame:
+        """(leaf, id, v) with the leaves of this level in place of those grown."""
+        size = self.size
+
+        def run(batches):
+            tree = None
+            for (leaf, _, kind), b in _runs(batches, 3):
+                if kind == 0:
+                    tree = pickle.loads(b.column(5)[0].as_py())
+                else:
+                    below = tree.assign(unit(matrix(b.column(4), size)))
+                    yield pa.RecordBatch.from_arrays([pa.array(_mixed(leaf, below)), b.column(3), b.column(4)], ["leaf", "id", "v"])
+
+        stay = rows.join(self.trees.select("leaf"), "leaf", "left_anti")
+        return stay.unionByName(self._met(rows).mapInArrow(run, "leaf long, id long, v array<double>"))
+
+    def visit(self, asked: DataFrame, most: int) -> DataFrame:
+        """(leaf, far, id, v) with each query's bins of this level; of all a query has, the ``most`` best stay."""
+        size = self.size
+
+        def run(batches):
+            tree = None
+            for (leaf, _, kind), b in _runs(batches, 3):
+                if kind == 0:
+                    tree = pickle.loads(b.column(5)[0].as_py())
+                    continue
+                rows, leaves, fars = [], [], []
+                for i, v in enumerate(unit(matrix(b.column(4), size))):
+                    below, far = tree.visit(v, most)
+                    rows += [i] * len(below)
+                    leaves.append(_mixed(leaf, np.array(below)))
+                    fars += far
+                take = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(leaves)), pa.array(fars), b.column(3).take(take), b.column(4).take(take)], ["leaf", "far", "id", "v"])
+
+        stay = asked.join(self.trees.select("leaf"), "leaf", "left_anti").select("leaf", "far", "id", "v")
+        return best_bins(stay.unionByName(self._met(asked).mapInArrow(run, "leaf long, far double, id long, v array<double>")), most)
+
+
+def best_bins(asked: DataFrame, most: int) -> DataFrame:
+    """Of each query row's bins the nearest ``most``."""
+    w = Window.partitionBy("id", "v").orderBy("far", "leaf")
+    return asked.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("place")
+
+
+def search(spark: SparkSession, vectors: DataFrame, *, key: str = "vec_id", column: str = "embedding", every: int = 50, k: int = 5, recall: float = 0.98, sample_rows: int = 20_000, branch: int = 16, leaf_rows: int = 400, grow_rows: int = 20_000, chunk_rows: int = 4_000, calibrate: int = 100) -> DataFrame:
     """Neighbours of every row whose id is divisible by ``every``: query_id, rank, vec_id, score."""
     schema = "query_id long, rank int, vec_id long, score double"
     rows = _clean(vectors, key, column)
@@ -188,19 +297,19 @@ def search(spark: SparkSession, vectors: DataFrame, *, key: str = "vec_id", colu
     rows = rows.where(F.size("v") == size)
 
     def picked(n: int, of: int, salt: int, df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """About n rows by a hash of the id: a bounded sample for the driver."""
+        """About n rows by a hash of id and vector: a bounded sample for the driver, never more than 2n rows."""
         share = min(1.0, n / max(1, of))
-        got = df.where(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(2**30)) < int(share * 2**30)).toArrow()
-        order = np.argsort(got.column(0).to_numpy(), kind="stable")
-        return got.column(0).to_numpy()[order], (matrix(got.column(1).combine_chunks(), size)[order] if got.num_rows else np.zeros((0, size)))
+        got = df.where(F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(2**30)) < int(share * 2**30)).limit(2 * n).toArrow()
+        if not got.num_rows:
+            got = df.limit(n).toArrow()
+        x = matrix(got.column(1).combine_chunks(), size) if got.num_rows else np.zeros((0, size))
+        order = np.lexsort((*x.T[::-1], got.column(0).to_numpy()))
+        return got.column(0).to_numpy()[order], x[order]
 
     _, sample = picked(sample_rows, total, 1, rows)
-    if not len(sample):
-        _, sample = picked(total, total, 1, rows)
     share = max(1.0, total / max(1, len(sample)))
     tree = Tree(unit(sample), branch, int(leaf_rows / share))
-    is_query = F.pmod("id", F.lit(every)) == 0
-    queries = rows.where(is_query)
+    queries = rows.where(F.pmod("id", F.lit(every)) == 0)
     qid, q = picked(calibrate, queries.count(), 2, queries)
     exact = _brute(rows, qid, q, k, size) if len(qid) else {}
 
@@ -214,71 +323,92 @@ def search(spark: SparkSession, vectors: DataFrame, *, key: str = "vec_id", colu
                 yield pa.RecordBatch.from_arrays([pa.array(shared.value.assign(unit(x))), b.column(0), b.column(1)], ["leaf", "id", "v"])
 
     indexed = cut(spark, rows.mapInArrow(index, "leaf long, id long, v array<double>"), "index")
-    chunks = {r["leaf"]: -(-r["n"] // chunk_rows) for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one row a leaf
-    counts = spark.sparkContext.broadcast(chunks)
+    levels: list[Grown] = []
+    final = spark.createDataFrame([], "leaf long")  # leaves that cannot be parted
+    while True:
+        sizes = indexed.groupBy("leaf").agg(F.count("*").alias("n"))
+        large = cut(spark, sizes.where(F.col("n") > grow_rows).join(final, "leaf", "left_anti"), "large")
+        if large.isEmpty():
+            break
+        level = Grown(spark, indexed, large, size=size, sample_rows=sample_rows, branch=branch, leaf_rows=leaf_rows, chunk_rows=chunk_rows)
+        final = cut(spark, final.union(large.select("leaf").join(level.trees.select("leaf"), "leaf", "left_anti")), "whole")
+        if not level.trees.isEmpty():
+            levels.append(level)
+            below = cut(spark, level.descend(indexed), "index")
+            discard(spark, indexed)
+            indexed = below
+    sizes = cut(spark, indexed.groupBy("leaf").agg(F.count("*").alias("n")), "leaves")
+    leaves = sizes.count()
+
+    def bins(asked: DataFrame, most: int) -> DataFrame:
+        """(leaf, far, id, v): the leaves that each query visits."""
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    row, leaf, far = [], [], []
+                    for i, v in enumerate(unit(matrix(b.column(1), size))):
+                        got, dist = shared.value.visit(v, most)
+                        row += [i] * len(got)
+                        leaf += got
+                        far += dist
+                    take = pa.array(row, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(far, pa.float64()), b.column(0).take(take), b.column(1).take(take)], ["leaf", "far", "id", "v"])
+
+        out = asked.mapInArrow(run, "leaf long, far double, id long, v array<double>")
+        for level in levels:
+            out = level.visit(out, most)
+        return out
 
     # widen until the calibration queries' true neighbours lie in the leaves visited
     wanted = sorted(set().union(*exact.values())) if exact else []
-    place = {r["id"]: r["leaf"] for r in indexed.where(F.col("id").isin(wanted)).select("id", "leaf").collect()} if wanted else {}
-    order = [tree.visit(v, tree.leaves) for v in unit(q)] if len(q) else []
-    visits = min(2, tree.leaves)
-    while visits < tree.leaves:
-        hit = sum(place[n] in set(o[:visits]) for i, o in zip(qid.tolist(), order, strict=True) for n in exact.get(i, ()))
-        if hit >= recall * max(1, sum(map(len, exact.values()))) and total > k * tree.leaves:
+    place: dict[int, set[int]] = {}
+    for r in indexed.where(F.col("id").isin(wanted)).select("id", "leaf").distinct().collect() if wanted else []:
+        place.setdefault(r["id"], set()).add(r["leaf"])
+    trial = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(qid, q, strict=True)], "id long, v array<double>")
+    visits = min(2, leaves)
+    while visits < leaves:
+        met: dict[int, set[int]] = {}
+        if levels:
+            for r in bins(trial, visits).select("id", "leaf").toLocalIterator():
+                met.setdefault(r["id"], set()).add(r["leaf"])
+        else:
+            for i, v in zip(qid.tolist(), unit(q) if len(q) else [], strict=True):
+                met.setdefault(i, set()).update(tree.visit(v, visits)[0])
+        hit = sum(bool(place.get(n, set()) & met.get(i, set())) for i, found in exact.items() for n in found)
+        if hit >= recall * max(1, sum(map(len, exact.values()))) and total > k * leaves:
             break
-        visits = min(tree.leaves, visits + max(1, visits // 2))
+        visits = min(leaves, visits + max(1, visits // 2))
 
-    def route(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = matrix(b.column(1), size)
-            row, leaf, chunk = [], [], []
-            for i, v in enumerate(unit(x)):
-                for lf in shared.value.visit(v, visits):
-                    for c in range(counts.value.get(lf, 0)):
-                        row.append(i)
-                        leaf.append(lf)
-                        chunk.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(chunk, pa.int64()), b.column(0).take(pa.array(row, pa.int64())), b.column(1).take(pa.array(row, pa.int64()))], ["leaf", "chunk", "id", "v"])
-
-    asked = queries.mapInArrow(route, "leaf long, chunk long, id long, v array<double>").withColumn("q", F.lit(0))
-    dealt = [F.lit(y) for leaf, n in chunks.items() if n > 1 for y in (leaf, n)]
-    many = F.coalesce(F.try_element_at(F.create_map(*dealt), F.col("leaf")), F.lit(1)) if dealt else F.lit(1)
-    held = indexed.withColumn("chunk", F.pmod(F.xxhash64("id"), many).cast("long")).withColumn("q", F.lit(1))
+    chunks = F.ceil(F.col("n") / chunk_rows).cast("long")
+    dealt = sizes.select("leaf", chunks.alias("chunks"))
+    dealt = F.broadcast(dealt) if leaves <= BROADCAST_LEAVES else dealt
+    asked = bins(queries, visits).join(dealt, "leaf").select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "id", "v", F.lit(0).alias("q"))
+    held = indexed.join(dealt, "leaf").select("leaf", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("long").alias("chunk"), "id", "v", F.lit(1).alias("q"))
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    met = asked.unionByName(held.select("leaf", "chunk", "id", "v", "q")).repartition(parts, "leaf", "chunk").sortWithinPartitions("leaf", "chunk", "q")
+    met = asked.unionByName(held).repartition(parts, "leaf", "chunk").sortWithinPartitions("leaf", "chunk", "q")
 
     def answer(batches):
         place, qs, qv, xs, xv = None, [], [], [], []
 
         def done():
             if qs and xs:
-                q, x = np.concatenate(qs), np.concatenate(xs)
-                got = best(q, np.concatenate(qv), x, np.concatenate(xv), k)
+                got = best(np.concatenate(qs), np.concatenate(qv), np.concatenate(xs), np.concatenate(xv), k)
                 return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.float64())], ["query_id", "vec_id", "score"])
             return None
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            leaf, chunk, ids, kind = (b.column(i).to_numpy() for i in (0, 1, 2, 4))
-            v = matrix(b.column(3), size)
-            change = np.flatnonzero((np.diff(leaf) != 0) | (np.diff(chunk) != 0)) + 1
-            for lo, hi in zip([0, *change], [*change, len(ids)], strict=True):
-                at = (leaf[lo], chunk[lo])
-                if at != place:
-                    if (out := done()) is not None:
-                        yield out
-                    place, qs, qv, xs, xv = at, [], [], [], []
-                rows = slice(lo, hi)
-                asks = kind[rows] == 0
-                if asks.any():
-                    qs.append(ids[rows][asks])
-                    qv.append(v[rows][asks])
-                if not asks.all():
-                    xs.append(ids[rows][~asks])
-                    xv.append(v[rows][~asks])
+        for (*at, kind), b in _runs((b.select([0, 1, 4, 2, 3]) for b in batches), 3):
+            if at != place:
+                if (out := done()) is not None:
+                    yield out
+                place, qs, qv, xs, xv = at, [], [], [], []
+            ids, v = b.column(3).to_numpy(), matrix(b.column(4), size)
+            if kind == 0:
+                qs.append(ids)
+                qv.append(v)
+            else:
+                xs.append(ids)
+                xv.append(v)
         if (out := done()) is not None:
             yield out
 

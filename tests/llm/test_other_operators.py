@@ -64,6 +64,62 @@ def test_neighbours(spark, docs):
     assert hit >= 0.9 * 5 * len(want)
 
 
+def brute_by_id(rows, every, k):
+    """Ids by the best score of any of their vectors."""
+    best = defaultdict(lambda: -2.0)
+    for i, v in rows:
+        for j, w in rows:
+            if i % every == 0 and i != j:
+                a, b = np.array(v, np.float32).astype(float), np.array(w, np.float32).astype(float)
+                best[i, j] = max(best[i, j], round(float(a @ b / math.sqrt(a @ a) / math.sqrt(b @ b)), 9))
+    out = defaultdict(list)
+    for (i, j), s in sorted(best.items(), key=lambda x: (x[0][0], -x[1], x[0][1])):
+        if len(out[i]) < k:
+            out[i].append((len(out[i]) + 1, j, s))
+    return dict(out)
+
+
+def test_neighbours_of_repeated_ids(spark, docs):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(1, 200)]
+    same, other = [1.0, 2.0, 0.0, 0.0, 1.0, 0.5], rng.normal(size=6).tolist()
+    rows += [(50, same)] * 8 + [(60, same), (61, same)]  # copies of a query
+    rows += [(100, other), (100, same), (7, [x + 0.1 for x in other]), (7, other[::-1]), (7, other[::-1])]  # several vectors under one id
+    rows = [r for r in rows if r[0] not in (50, 100) or r[1] in (same, other)]
+    got = defaultdict(list)
+    for r in kmeans_tree.search(spark, vectors(spark, rows), recall=1.0, leaf_rows=300).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r["rank"], r.vec_id, round(r.score, 9)))
+    assert dict(got) == brute_by_id(rows, 50, 5)
+    assert [v for _, v, _ in got[50]][:3] == [60, 61, 100]
+
+
+def test_leaves_grow_with_the_table(spark, docs):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 8))
+    rows = [(i, (centres[i % 40] + 0.4 * rng.normal(size=8)).tolist()) for i in range(4000)]
+    rows += [(5000 + i, rows[3][1]) for i in range(600)]
+    want = brute_neighbours(rows, 100, 5)
+    seen = []
+    grown = kmeans_tree.Grown.__init__
+
+    def watch(self, *args, **options):
+        grown(self, *args, **options)
+        seen.append(self.trees.count())
+
+    kmeans_tree.Grown.__init__ = watch
+    try:
+        out = kmeans_tree.search(spark, vectors(spark, rows), every=100, sample_rows=12, branch=3, leaf_rows=60, grow_rows=150, chunk_rows=100).collect()
+    finally:
+        kmeans_tree.Grown.__init__ = grown
+    assert len(seen) >= 2 and seen[0] > 1  # several levels, fitted apart
+    got = defaultdict(set)
+    for r in out:
+        got[r.query_id].add(r.vec_id)
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    hit = sum(len(got[q] & {j for _, j in found}) for q, found in want.items())
+    assert hit >= 0.9 * 5 * len(want)
+
+
 def test_few_vectors(spark, docs):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (50, [1.0, 0.1])]
     got = [(r.query_id, r["rank"], r.vec_id) for r in kmeans_tree.search(spark, vectors(spark, rows)).orderBy("query_id", "rank").collect()]
@@ -79,8 +135,8 @@ def test_visits_are_best_first():
     rng = np.random.default_rng(3)
     x = kmeans_tree.unit(rng.normal(size=(600, 6)))
     tree = kmeans_tree.Tree(x, 4, 30)
-    assert sorted(tree.visit(x[0], tree.leaves)) == list(range(tree.leaves))
-    assert all(tree.visit(v, 1)[0] == a for v, a in zip(x[:50], tree.assign(x[:50]), strict=True))
+    assert sorted(tree.visit(x[0], tree.leaves)[0]) == list(range(tree.leaves))
+    assert all(tree.visit(v, 1)[0][0] == a for v, a in zip(x[:50], tree.assign(x[:50]), strict=True))
 
 
 # -- mixing
