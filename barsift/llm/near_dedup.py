@@ -30,6 +30,7 @@ ignored.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -290,6 +291,16 @@ def near_duplicates(
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: those whose id is the group's smallest. Rows without an id stay."""
-    gone = near_duplicates(spark, docs, key=key, **options).where("NOT kept").select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col(key).cast("long") == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each group of near-duplicates: one whose id is the group's smallest. Of rows that share that id, the one of the smallest hash stays. Rows without an id stay."""
+    own = f"id_{uuid.uuid4().hex}"  # a name that no column of theirs has
+    found = cut(spark, near_duplicates(spark, docs, key=key, **options).select(F.col(key).alias(own), "kept"), "found")
+    gone = found.where("NOT kept").select(own).distinct()
+    left = docs.join(gone.hint("merge"), F.col(key).cast("long") == F.col(own), "left_anti")
+    twice = cut(spark, found.groupBy(own).agg(F.count("*").alias("n")).where("n > 1").select(own), "twice")
+    if twice.isEmpty():
+        return left
+    # rows of ids that occur once pass by; of the others one is picked after a pre-aggregation
+    same = F.col(key).cast("long") == F.col(own)
+    whole = left.join(twice, same, "left_semi").select(F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("h"), F.struct("*").alias("row"), F.col(key).cast("long").alias(own))
+    one = whole.groupBy(own).agg(F.min_by("row", "h").alias("row")).select("row.*")
+    return left.join(twice, same, "left_anti").union(one)

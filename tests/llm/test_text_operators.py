@@ -312,6 +312,16 @@ def test_trees_follow_the_depth(spark, monkeypatch, percent, depth):
     assert miss ** asked[0] <= 1e-4 * (1 + 1e-9)
 
 
+def test_keep_one_of_repeated_rows(spark, docs):
+    near = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, near, "a"), (1, near, "a"), (1, near, "b"), (2, near + " more", "c"), (3, "apart from all others here", "d"), (3, "apart from all others here", "d"), (None, near, "e"), (None, near, "e"), (4, None, "f"), (4, None, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string")
+    got = near_dedup.keep_one(spark, df)
+    assert got.schema == df.schema
+    assert Counter(r.doc_id for r in got.collect()) == {1: 1, 3: 1, None: 2, 4: 1}
+    assert near_dedup.keep_one(spark, df.limit(0)).count() == 0
+
+
 # -- language model
 
 
