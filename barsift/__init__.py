@@ -2,7 +2,7 @@
 
 from barsift.functions import candles, indicators  # noqa: F401  (they fill the registry)
 from barsift.functions.registry import INDICATORS
-from barsift.operators.scan import Scan, apply, apply_relation, apply_sql, materialize
+from barsift.operators.scan import Scan, apply, apply_relation, apply_sql, last_bars, materialize
 from barsift.operators.scoring import score_bars
 from barsift.operators.stats import HORIZONS, backtest, backtest_summary, forward_returns, forward_stats
 from barsift.plans.catalog import PROPERTY_CATALOG, catalog_from_schema
@@ -25,6 +25,7 @@ __all__ = [
     "compile",
     "forward_returns",
     "forward_stats",
+    "last_bars",
     "materialize",
     "parse",
     "score_bars",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -23,5 +24,7 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(name, "w") as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, p.relative_to(top.parent))
-    spark.sparkContext.addPyFile(name)
+    spark.sparkContext.addPyFile(name)  # copies it
+    if not spark.sparkContext.master.startswith("local"):
+        atexit.register(lambda: Path(name).unlink(missing_ok=True))
     _shipped.add(app)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from barsift.functions.registry import INDICATORS, STAGED
 from barsift.plans.catalog import PROPERTY_CATALOG, catalog_from_schema
@@ -61,6 +63,13 @@ def materialize(frame: DataFrame, scan_def: dict | str, *, catalog: dict | None
     return staged.select(*map(column, frame.columns), *[v.col.alias(name) for name, v in named.items()])
 
 
+def last_bars(frame: DataFrame, n: int, *, partition="symbol", order_column: str = "session") -> DataFrame:
+    """Each partition's last ``n`` rows; each input split keeps no more than n of a partition before the shuffle."""
+    w = Window.partitionBy(*([partition] if isinstance(partition, str) else partition)).orderBy(F.col(order_column).desc())
+    place = f"__place_{uuid.uuid4().hex}"
+    return frame.withColumn(place, F.row_number().over(w)).where(F.col(place) <= n).drop(place)
+
+
 class Scan:
     """A frame with its catalog: screens are parsed and run without repeating either."""
 

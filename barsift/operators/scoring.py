@@ -113,8 +113,10 @@ def score_bars(bars: DataFrame, *, min_bars: int = 30, freshness_days: int = 5)
     """Score each symbol's latest bar. Kept are symbols of at least ``min_bars`` bars whose latest is within ``freshness_days`` of the latest among those kept so far."""
     c = F.col
     latest = score_features(bars, tail=YEAR_BARS + MEAN_BARS + ATR_BARS).where((c("session") == c("last_session")) & (c("n") >= min_bars))
-    newest = latest.agg(F.max("session").alias("newest"))  # one row
-    fresh = latest.crossJoin(F.broadcast(newest)).where(F.datediff("newest", "session") <= freshness_days)
+    # their latest session, from a pass of its own over two columns; no window or kernel is run for it
+    ends = bars.groupBy("symbol").agg(F.count("close").alias("n"), F.max("session").alias("last")).where(c("n") >= min_bars)
+    newest = ends.agg(F.max("last").alias("newest"))  # one row
+    fresh = latest.join(F.broadcast(newest), F.datediff("newest", "session") <= freshness_days)
     return fresh.select(
         "symbol",
         "session",

@@ -44,8 +44,9 @@ def forward_returns(bars: DataFrame, runs: DataFrame, *, partition: str = "symbo
     entry = F.struct(F.col("at").alias("entry_session"), "close", *[label for label, _ in HORIZONS])
     marks = ahead.select(partition, "at", F.lit(1).alias("is_bar"), entry.alias("e"), F.lit(None).cast(runs.schema["ran_on"].dataType).alias("ran_on"))
     asked = runs.select(partition, F.col("ran_on").cast(bars.schema[order_column].dataType).alias("at"), F.lit(0).alias("is_bar"), F.lit(None).cast(marks.schema["e"].dataType).alias("e"), "ran_on")
-    following = Window.partitionBy(partition).orderBy("at", "is_bar").rowsBetween(0, Window.unboundedFollowing)
-    met = marks.unionByName(asked).withColumn("e", F.first("e", ignorenulls=True).over(following)).where("is_bar = 0")
+    # backwards in time, so that the next bar is the last one met: a running value, linear in the bars
+    met_so_far = Window.partitionBy(partition).orderBy(F.desc("at"), F.desc("is_bar")).rowsBetween(Window.unboundedPreceding, 0)
+    met = marks.unionByName(asked).withColumn("e", F.last("e", ignorenulls=True).over(met_so_far)).where("is_bar = 0")
     longest = HORIZONS[-1][0]
     returns = [((F.col(f"e.{label}") / F.col("e.close") - 1) * 100).alias(label) for label, _ in HORIZONS]
     return met.where(F.col(f"e.`{longest}`").isNotNull()).select(partition, "ran_on", F.col("e.entry_session").alias("entry_session"), *[r for r in returns])

@@ -11,6 +11,7 @@ partition. Windows see the whole frame; the filter comes last.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -27,7 +28,6 @@ from barsift.functions.registry import INDICATORS, STAGED
 from barsift.plans.catalog import PROPERTY_CATALOG
 from barsift.plans.validation import validate
 
-INTERNAL = "__s"
 
 
 def column(name: str) -> Column:
@@ -95,6 +95,7 @@ def combine(label: str, f: Callable[..., Column], *values) -> Value:
 class Stage:
     level: int
     name: str
+    key: str
     col: Column | None = None
     kernel: tuple[str, list[str], tuple] | None = None
 
@@ -109,6 +110,8 @@ class Context:
     stages: list[Stage] = field(default_factory=list)
     known: dict[str, Value] = field(default_factory=dict)
     names: dict[str, str] = field(default_factory=dict)
+    #: staged columns are named after the context, so that no column of a frame can have such a name by chance
+    prefix: str = field(default_factory=lambda: f"__stage_{uuid.uuid4().hex}_")
 
     @property
     def keys(self) -> list[str]:
@@ -129,8 +132,8 @@ class Context:
 
     def _stage(self, key: str, level: int, **what) -> Value:
         if key not in self.known:
-            name = f"{INTERNAL}{len(self.stages)}"
-            self.stages.append(Stage(level, name, **what))
+            name = f"{self.prefix}{len(self.stages)}"
+            self.stages.append(Stage(level, name, key, **what))
             self.known[key] = Value(F.col(name), level, False, key)
             self.names[key] = name
         return self.known[key]
@@ -230,13 +233,20 @@ class Planner:
 
 
 def run_stages(df: DataFrame, ctx: Context) -> DataFrame:
+    """Level by level; kernels wait until something needs them (a key holds the keys of its inputs), so that as many as can share one grouped pass, and windows go before it in the exchange that is there."""
+    waiting: list[Stage] = []
+
+    def pass_over(df: DataFrame, ready: list[Stage]) -> DataFrame:
+        return run_kernels(df, [(s.name, *s.kernel) for s in ready], ctx.keys, ctx.order_column) if ready else df
+
     for level in sorted({s.level for s in ctx.stages}):
         now = [s for s in ctx.stages if s.level == level]
+        if any(w.key in s.key for w in waiting for s in now):
+            df, waiting = pass_over(df, waiting), []
         if plain := {s.name: s.col for s in now if s.col is not None}:
             df = df.withColumns(plain)
-        if kernels := [(s.name, *s.kernel) for s in now if s.kernel]:
-            df = run_kernels(df, kernels, ctx.keys, ctx.order_column)
-    return df
+        waiting += [s for s in now if s.kernel]
+    return pass_over(df, waiting)
 
 
 def run_kernels(df: DataFrame, kernels: list[tuple[str, str, list[str], tuple]], keys: list[str], order: str) -> DataFrame:
@@ -261,12 +271,36 @@ def run_kernels(df: DataFrame, kernels: list[tuple[str, str, list[str], tuple]],
     return df.groupBy(*map(column, keys)).applyInArrow(run, schema)
 
 
+def conjuncts(nodes: list[dict]) -> list[dict]:
+    """The parts that all must hold."""
+    return [part for n in nodes for part in (conjuncts(n["all"]) if "all" in n else [n])]
+
+
+def columns_alone(x) -> set[str] | None:
+    """Columns of a node or operand; None if it looks at other bars."""
+    if isinstance(x, (list, tuple)):
+        found = [columns_alone(i) for i in x]
+        return None if None in found else set().union(*found)
+    if not isinstance(x, dict):
+        return set()
+    if "fn" in x or x.get("op") in ("cross_above", "cross_below"):
+        return None
+    if "col" in x:
+        return {x["col"]}
+    if "property" in x:
+        prop = {x["property"]} if isinstance(x["property"], str) else columns_alone(x["property"])
+        right = columns_alone(x["value"]) if isinstance(x["value"], dict) else set()
+        return None if prop is None or right is None else prop | right
+    return columns_alone(list(x.values()))
+
+
 @dataclass
 class CompiledScan:
     """A plan that can be applied to any frame with the catalog's columns."""
 
     ctx: Context
     predicate: Column
+    early: Column | None  # what holds for whole partitions, and so can go before their windows
     staged: list[tuple[str, Value]]
     order_by: list[tuple[str, bool]]
     limit: int | None
@@ -276,7 +310,7 @@ class CompiledScan:
 
     def apply(self, df: DataFrame) -> DataFrame:
         kept = df.columns
-        out = self.stage(df).filter(self.predicate)
+        out = self.stage(df if self.early is None else df.filter(self.early)).filter(self.predicate)
         out = out.select(*map(column, kept), *[v.col.alias(name) for name, v in self.staged])
         if self.order_by:
             ties = [k for k in [*self.ctx.keys, self.ctx.order_column] if k in kept and k not in [p for p, _ in self.order_by]]
@@ -290,6 +324,9 @@ def compile(scan_def: dict, *, catalog: dict = PROPERTY_CATALOG, partition="symb
         raise ValueError(faults[0])
     ctx = Context(partition, order_column, seed or ("sma" if engine == "duckdb" else "first"))
     planner = Planner(ctx, catalog)
-    predicate = reduce(Column.__and__, map(planner.node, scan_def.get("filters") or []), F.lit(True))
+    parts = conjuncts(scan_def.get("filters") or [])
+    whole = [(c := columns_alone(p)) is not None and bool(c) and c <= set(ctx.keys) for p in parts]
+    predicate = reduce(Column.__and__, [planner.node(p) for p, w in zip(parts, whole, strict=True) if not w], F.lit(True))
+    early = [planner.node(p) for p, w in zip(parts, whole, strict=True) if w]
     order = [(o["property"], o.get("dir", "asc") == "asc") for o in scan_def.get("order_by") or []]
-    return CompiledScan(ctx, predicate, planner.staged, order, scan_def.get("limit"))
+    return CompiledScan(ctx, predicate, reduce(Column.__and__, early) if early else None, planner.staged, order, scan_def.get("limit"))
