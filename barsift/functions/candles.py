@@ -1,7 +1,8 @@
 """Candlestick patterns, from their published definitions, as window expressions.
 
 A bar is compared with averages of the bars before it. Until a pattern's bars
-and averages exist its value is 0; there are no nulls.
+and averages exist its value is 0; in the profile of SQL engines those bars have
+no value.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from barsift.functions.registry import indicator
-from barsift.plans.planner import Context, Value
+from barsift.plans.planner import Context, Value, combine
 
 OHLC = "open high low close"
 
@@ -121,6 +122,21 @@ def around(x: Column, y: Column, by: Column) -> Column:
     return (x >= y - by) & (x <= y + by)
 
 
+# Bars that SQL engines leave without a value at a series' start.
+LOOKBACK = {
+    "cdl2crows": 12, "cdl3blackcrows": 13, "cdl3linestrike": 8, "cdl3outside": 3, "cdl3starsinsouth": 12, "cdl3whitesoldiers": 12, "cdlbreakaway": 14, "cdlconcealbabyswall": 13, "cdlengulfing": 2,
+    "cdlgravestonedoji": 10, "cdlhikkake": 5, "cdlhomingpigeon": 11, "cdlidentical3crows": 12, "cdlinneck": 11, "cdlkicking": 11, "cdlkickingbylength": 11, "cdlladderbottom": 14, "cdlonneck": 11,
+    "cdlrisefall3methods": 14, "cdlseparatinglines": 11, "cdlstalledpattern": 12, "cdltasukigap": 7, "cdlthrusting": 11, "cdlunique3river": 12, "cdlupsidegap2crows": 12, "cdlxsidegap3methods": 2,
+}
+
+
+def looked_back(ctx: Context, name: str, v: Value) -> Value:
+    """``v``, without a value on the first bars where the context is that of an SQL engine."""
+    if not ctx.lookback:
+        return v
+    return combine(f"{name} looked back", lambda x, i: F.when(i >= LOOKBACK[name], x), v, ctx.index())
+
+
 def pattern(name: str, bars: int):
     """Register a function of bars, oldest first, returning (condition, value)."""
 
@@ -128,7 +144,7 @@ def pattern(name: str, bars: int):
         @indicator(f"cdl{name}", "int", needs=OHLC, staged=True)
         def build(ctx: Context, _) -> Value:
             met, sign = f(*[Bar(ctx, k) for k in range(bars - 1, -1, -1)])
-            return Value(F.when(met, sign).otherwise(0).cast("double"), 1, False, f"cdl{name}")
+            return looked_back(ctx, f"cdl{name}", Value(F.when(met, sign).otherwise(0).cast("double"), 1, False, f"cdl{name}"))
 
         return f
 

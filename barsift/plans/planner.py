@@ -107,6 +107,7 @@ class Context:
     partition: str | Sequence[str] = "symbol"
     order_column: str = "session"
     seed: str = "first"
+    lookback: bool = False  # candlesticks have no value on a series' first bars, as in SQL engines
     stages: list[Stage] = field(default_factory=list)
     known: dict[str, Value] = field(default_factory=dict)
     names: dict[str, str] = field(default_factory=dict)
@@ -300,7 +301,7 @@ class CompiledScan:
 
     ctx: Context
     predicate: Column
-    early: Column | None  # what holds for whole partitions, and so can go before their windows
+    early: Column | None  # the part of it that holds for whole partitions, and so can go before their windows
     staged: list[tuple[str, Value]]
     order_by: list[tuple[str, bool]]
     limit: int | None
@@ -322,11 +323,11 @@ def compile(scan_def: dict, *, catalog: dict = PROPERTY_CATALOG, partition="symb
     """Validate a definition and plan it. ``seed``: how exponential means begin, "first" (first value) or "sma" (mean of the first n; the default of the "duckdb" profile)."""
     if faults := validate(scan_def, catalog=catalog, engine=engine):
         raise ValueError(faults[0])
-    ctx = Context(partition, order_column, seed or ("sma" if engine == "duckdb" else "first"))
+    ctx = Context(partition, order_column, seed or ("sma" if engine == "duckdb" else "first"), engine == "duckdb")
     planner = Planner(ctx, catalog)
     parts = conjuncts(scan_def.get("filters") or [])
     whole = [(c := columns_alone(p)) is not None and bool(c) and c <= set(ctx.keys) for p in parts]
-    predicate = reduce(Column.__and__, [planner.node(p) for p, w in zip(parts, whole, strict=True) if not w], F.lit(True))
+    predicate = reduce(Column.__and__, map(planner.node, parts), F.lit(True))
     early = [planner.node(p) for p, w in zip(parts, whole, strict=True) if w]
     order = [(o["property"], o.get("dir", "asc") == "asc") for o in scan_def.get("order_by") or []]
     return CompiledScan(ctx, predicate, reduce(Column.__and__, early) if early else None, planner.staged, order, scan_def.get("limit"))
