@@ -1,23 +1,25 @@
 """Language-model scores by deleted interpolation of n-gram estimates.
 
-    P(w | v) = l2 c(v w) / c(v) + l1 c(w) / N + l0 / (V + 1)
+    P(w | u v) = l3 c(u v w) / c(u v) + l2 c(v w) / c(v) + l1 c(w) / N + l0 / (V + 1)
 
-The weights l depend on the frequency bucket of the context v (by powers of
-two). They are learnt by expectation-maximisation on deleted counts: every
-training token is held out in turn, so it is predicted from counts less one,
-(c(v w) - 1) / (c(v) - 1) and (c(w) - 1) / (N - 1). The tokens' triples are
-summed into a bounded grid of cells (bucket, and powers of two of either
-estimate) with their exact means, over all training tokens; the grid alone
-comes to the driver, where EM runs to convergence.
+The weights l depend on the frequency bucket of the context: powers of two of
+c(u v), or of c(v) where u v was never met. They are learnt by
+expectation-maximisation on deleted counts: every training token is held out in
+turn, so it is predicted from counts less one, (c(u v w) - 1) / (c(u v) - 1) and
+so on, and its bucket is that of the counts less one. Each round passes over all
+held-out tokens on the executors and brings home one row of sums a bucket. The
+rounds begin at the weights that a bounded sample of tokens (``START_TOKENS``)
+settles on, and end when one raises the likelihood by less than ``GAIN`` nats a token.
 
 Counts never leave the executors and nothing that grows is broadcast.
-Documents are dealt to parts by a hash of their id (texts compressed). Each
-part asks for the counts of its distinct words and word pairs: 64-bit hashes,
-sorted, cut into ranges, one packed block for each range. The tasks that own a
-range add up the parts' training counts and send each part its totals in the
-order asked. A part then has its documents and all counts they need side by
-side. What is exchanged is one entry for each distinct n-gram of a part, so it
-grows with the input, and a frequent word costs no more than a rare one.
+Documents are dealt to parts by a hash of their id (texts compressed), of about
+``PART_BYTES`` of text. Each part asks for the counts of its distinct words, pairs
+and triples: 64-bit hashes, sorted, cut into ranges, one packed block for each range.
+The tasks that own a range add up the parts' training counts and send each part its
+totals in the order asked. A part then writes its documents' counts, token by token
+(packed, a slice of documents a row); learning and scoring read those alone. What is
+exchanged is one entry for each distinct n-gram of a part, so it grows with the
+input, and a frequent word costs no more than a rare one.
 
 Defined cases: null and empty texts have the end token alone; with no training
 documents N = V = 0, nothing is known, and both scores take every token at
@@ -34,10 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, WordHash, cut, free_shuffles, mix64, words_of
+from .common import U64, WordHash, cut, discard, free_shuffles, mix64, words_of
 
 END, START = U64(0x5EED0001), U64(0x5EED0002)
-BUCKETS, BINS2, BINS1 = 24, 34, 48
+SIZES = 24  # buckets of a context's frequency
+BUCKETS = 2 * SIZES  # of the last word alone, then of the last two
+PART_BYTES = 16_000_000
+START_TOKENS, GAIN, ROUNDS = 200_000, 1e-6, 30
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -84,7 +89,7 @@ def ranges(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 class Part:
-    """The documents of a part as token and pair hashes, and their distinct ones."""
+    """The documents of a part as hashes of words, pairs and triples, and their distinct ones."""
 
     def __init__(self, docs: list[tuple[int, bool, bytes]], hashes: WordHash):
         inflate = zstandard.ZstdDecompressor()
@@ -98,54 +103,86 @@ class Part:
         w = mix64(np.concatenate(tokens)) if tokens else np.zeros(0, U64)
         tokens.clear()
         self.begin = np.concatenate([[0], np.cumsum(self.size)])[:-1]
-        self.words, self.w = numbered(w)
-        pair = np.empty_like(w)
-        pair[1:] = w[:-1]
-        pair[self.begin] = mix64(np.array([START], U64))[0]
-        pair *= U64(0x9E3779B97F4A7C15)
-        w ^= U64(0xD1B54A32D192ED03)
-        pair += w
-        del w
-        self.pairs, self.p = numbered(mix64(pair))
         self.learnt = np.repeat(self.train, self.size)
+        self.keys, self.at = [], []
+        before = np.empty_like(w)
+        for salt in (0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0):
+            keys, at = numbered(w if not self.keys else gram)
+            self.keys.append(keys)
+            self.at.append(at)
+            if salt:
+                # what came before, hashed with the word: pairs, then triples
+                last = w if len(self.keys) == 1 else gram
+                before[1:] = last[:-1]
+                before[self.begin] = mix64(np.array([START + U64(len(self.keys))], U64))[0]
+                gram = mix64(before * U64(0x9E3779B97F4A7C15) + (w ^ U64(salt)))
 
     def requests(self, parts: int):
-        """(range, packed words, packed pairs)."""
+        """(range, a packed block of each order)."""
         out = []
-        for keys, of in ((self.words, self.w), (self.pairs, self.p)):
+        for keys, of in zip(self.keys, self.at, strict=True):
             counts = np.bincount(of[self.learnt], minlength=len(keys))
             cuts = ranges(keys, parts)
             out.append([pack(keys[a:b], counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-        yield from ((r, u, b) for r, (u, b) in enumerate(zip(*out, strict=True)))
+        yield from enumerate(zip(*out, strict=True))
 
-    def take(self, replies: list[tuple[int, bytes, bytes]], parts: int) -> None:
-        """Counts of every token: cw, cv (of the context), cp (of the pair)."""
-        got = []
-        for keys, which in ((self.words, 1), (self.pairs, 2)):
-            cuts, all_counts = ranges(keys, parts), np.zeros(len(keys), np.int64)
+    def take(self, replies: list[tuple], parts: int) -> np.ndarray:
+        """Counts of every token: (order, token) of the word, the pair and the triple that end there."""
+        out = np.empty((len(self.keys), len(self.learnt)), np.int32)
+        for order, (keys, at) in enumerate(zip(self.keys, self.at, strict=True)):
+            cuts, counts = ranges(keys, parts), np.zeros(len(keys), np.int64)
             for r in replies:
                 a, b = cuts[r[0]], cuts[r[0] + 1]
-                all_counts[a:b] = unpack_counts(r[which], b - a, 0)
-            got.append(all_counts)
-        self.cw, self.cp = got[0][self.w], got[1][self.p]
-        self.cv = np.empty_like(self.cw)
-        self.cv[1:] = self.cw[:-1]
-        # a text's first context was met once for each training document, as was the end
-        end = np.searchsorted(self.words, mix64(np.array([END], U64))[0])
-        self.cv[self.begin] = got[0][end] if len(self.begin) else 0
+                counts[a:b] = unpack_counts(r[1 + order], b - a, 0)
+            out[order] = np.minimum(counts, 2**31 - 1)[at]
+        return out
 
 
-def bucket(c: np.ndarray) -> np.ndarray:
+def size_class(c: np.ndarray) -> np.ndarray:
     """0 for contexts never met, then by powers of two."""
-    return np.where(c > 0, np.minimum(np.log2(np.maximum(c, 1)).astype(np.int64) + 1, BUCKETS - 1), 0)
-
-
-def bins(p: np.ndarray, most: int) -> np.ndarray:
-    """By powers of two below 1; the last bin for 0."""
-    out = np.full(len(p), most - 1, np.int64)
-    some = p > 0
-    out[some] = np.minimum((-np.log2(p[some])).astype(np.int64), most - 2)
-    return out
+    return np.where(c > 0, np.minimum(np.log2(np.maximum(c, 1)).astype(np.int64) + 1, SIZES - 1), 0)
+
+
+def estimates(counts: np.ndarray, begin: np.ndarray, documents: int, total: int, vocabulary: int, held_out: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, token x 4 estimates: triple, pair, word, uniform) from counts by order; less one where the token itself is held out."""
+    less = 1 if held_out else 0
+    word, pair, triple = (c.astype(np.int64) for c in counts)
+    one, two = np.empty_like(word), np.empty_like(pair)
+    one[1:], two[1:] = word[:-1], pair[:-1]
+    # a text's first contexts were met once for each training document
+    one[begin] = two[begin] = documents
+    word, pair, triple, one, two = word - less, pair - less, triple - less, one - less, two - less
+    p = np.empty((len(word), 4))
+    p[:, 0] = np.where(two > 0, triple / np.maximum(two, 1), 0.0)
+    p[:, 1] = np.where(one > 0, pair / np.maximum(one, 1), 0.0)
+    p[:, 2] = word / max(1, total - less)
+    p[:, 3] = 1 / (vocabulary + 1)
+    return np.where(two > 0, SIZES + size_class(two), size_class(one)), p
+
+
+def expectation(bucket: np.ndarray, p: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """BUCKETS x 6: how much of the tokens each estimate accounts for, their number, and their log-likelihood."""
+    share = weights[bucket] * p
+    all_p = share.sum(1)
+    share /= all_p[:, None]
+    columns = [*share.T, np.ones(len(p)), np.log(all_p)]
+    return np.stack([np.bincount(bucket, c, BUCKETS) for c in columns], 1)
+
+
+def maximised(sums: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """New weights; buckets without tokens keep theirs. None falls to 0, so that an unmet word keeps some probability."""
+    n = sums[:, 4:5]
+    new = np.where(n > 0, sums[:, :4] / np.maximum(n, 1), weights)
+    new = np.maximum(new, 1e-9)
+    return new / new.sum(1, keepdims=True)
+
+
+def first_weights() -> np.ndarray:
+    out = np.full((BUCKETS, 4), 0.25)
+    out[0] = [0, 0, 0.5, 0.5]
+    out[1:SIZES] = [0, 1 / 3, 1 / 3, 1 / 3]
+    out = np.maximum(out, 1e-9)
+    return out / out.sum(1, keepdims=True)
 
 
 def slices(part: Part, tokens: int = 200_000):
@@ -157,48 +194,29 @@ def slices(part: Part, tokens: int = 200_000):
         lo = hi
 
 
-def cells(part: Part, total: int) -> dict[str, np.ndarray]:
-    size = BUCKETS * BINS2 * BINS1
-    n, s2, s1 = np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
-    for _, _, a, b in slices(part):
-        on = part.learnt[a:b]
-        cp, cv, cw = part.cp[a:b][on] - 1, part.cv[a:b][on] - 1, part.cw[a:b][on] - 1
-        p2, p1 = np.where(cv > 0, cp / np.maximum(cv, 1), 0.0), cw / max(1, total - 1)
-        cell = (bucket(cv) * BINS2 + bins(p2, BINS2)) * BINS1 + bins(p1, BINS1)
-        n += np.bincount(cell, minlength=size)
-        s2 += np.bincount(cell, p2, size)
-        s1 += np.bincount(cell, p1, size)
-    kept = np.flatnonzero(n)
-    return {"cell": kept, "n": n[kept], "p2": s2[kept], "p1": s1[kept]}
-
-
-def learn_weights(rows: list[tuple[int, int, float, float]], vocabulary: int, rounds: int = 500) -> np.ndarray:
-    """EM for each bucket: BUCKETS x 3 weights (pair, word, uniform)."""
-    out = np.tile([0.0, 0.5, 0.5], (BUCKETS, 1))
-    by: dict[int, list] = {}
-    for cell, n, p2, p1 in rows:
-        by.setdefault(cell // (BINS2 * BINS1), []).append((n, p2 / n, p1 / n))
-    for b in range(BUCKETS):
-        got = np.array(by.get(b, []), float).reshape(-1, 3)
-        if b:
-            out[b] = out[b - 1] if b > 1 else [0.1, 0.6, 0.3]
-        if not len(got):
-            continue
-        n = got[:, 0]
-        p = np.stack([got[:, 1], got[:, 2], np.full(len(n), 1 / (vocabulary + 1))], 1)
-        weights = np.array([1 / 3, 1 / 3, 1 / 3]) if b else np.array([0.0, 0.5, 0.5])
-        for _ in range(rounds):
-            share = weights * p
-            new = (n[:, None] * share / share.sum(1, keepdims=True)).sum(0) / n.sum()
-            done = np.abs(new - weights).max() < 1e-9
-            weights = new
-            if done:
-                break
-        # no weight of exactly 0, so that an unmet word keeps some probability
-        floor = np.array([1e-9 if b else 0.0, 1e-9, 1e-9])
-        weights = np.maximum(weights, floor)
-        out[b] = weights / weights.sum()
-    return out
+class Slice:
+    """Documents and their tokens' counts, as read back."""
+
+    SCHEMA = "ids binary, sizes binary, train binary, counts binary"
+
+    def __init__(self, ids: bytes, sizes: bytes, train: bytes, counts: bytes):
+        self.ids, self.size = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
+        self.train = np.frombuffer(train, bool)
+        self.begin = np.concatenate([[0], np.cumsum(self.size)])[:-1]
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(counts), np.uint8).reshape(3, 4, -1)
+        self.counts = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i4")[:, :, 0]
+
+    @staticmethod
+    def packed(part: Part, counts: np.ndarray, first: int, last: int, a: int, b: int) -> list[bytes]:
+        # bytes of equal weight side by side, as most of the upper ones are 0
+        planes = np.ascontiguousarray(counts[:, a:b].astype("<i4")).view(np.uint8).reshape(3, b - a, 4).transpose(0, 2, 1)
+        z = zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+        return [part.ids[first:last].tobytes(), part.size[first:last].tobytes(), part.train[first:last].tobytes(), z]
+
+    def learnt(self, documents: int, total: int, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+        on = np.repeat(self.train, self.size)
+        bucket, p = estimates(self.counts, self.begin, documents, total, vocabulary, True)
+        return bucket[on], p[on]
 
 
 def _held(docs: DataFrame, text: str, key: str, train: Column, parts: int) -> DataFrame:
@@ -217,81 +235,123 @@ def _held(docs: DataFrame, text: str, key: str, train: Column, parts: int) -> Da
 
 def score(spark: SparkSession, docs: DataFrame, train: Column, *, text: str = "text", key: str = "doc_id", parts: int | None = None) -> DataFrame:
     """One row a document: key, n_tokens, n_known, train_tokens, base_score, score (log10). ``train`` marks the rows to learn from."""
-    parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(key, text)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     held = _held(docs, text, key, train, parts)
+    blocks = "w binary, p binary, t binary"
 
     def ask(batches):
         rows = [(i, t, z) for b in batches for i, t, z in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
         if not rows:
             return
-        part = Part(rows, WordHash())
         me = TaskContext.get().partitionId()
-        out = list(part.requests(parts))
+        out = list(Part(rows, WordHash()).requests(parts))
         for lo in range(0, len(out), 8):
             some = out[lo : lo + 8]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int32()), pa.array([me] * len(some), pa.int32()), pa.array([r[1] for r in some], pa.binary()), pa.array([r[2] for r in some], pa.binary())], ["range", "part", "u", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in some], pa.int32()), pa.array([me] * len(some), pa.int32()), *[pa.array(x, pa.binary()) for x in zip(*(k for _, k in some), strict=True)]], ["range", "part", "w", "p", "t"])
 
     def count(batches):
-        asked: list[list] = [[], [], []]
+        asked: list[list] = [[], [], [], []]
         for b in batches:
             for x, c in zip(asked, b.columns[1:], strict=True):
                 x += c.to_pylist()
         if not asked[0]:
             return
         mine, replies, sums = TaskContext.get().partitionId(), [], []
-        for blocks in asked[1:]:
+        ends = mix64(np.array([END], U64))[0]
+        for order, blocks in enumerate(asked[1:]):
             got = [unpack(x) for x in blocks]
+            blocks.clear()
             keys, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
             total = np.bincount(at, np.concatenate([g[1] for g in got]), len(keys)).astype(np.int64)
             cuts = np.cumsum([0] + [len(g[0]) for g in got])
             replies.append([pack_counts(total[at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-            sums.append((int(total.sum()), int((total > 0).sum())))
+            if order == 0:
+                # tokens, distinct tokens, and documents: as many as ends
+                sums = [int(total.sum()), int((total > 0).sum()), int(total[keys == ends].sum())]
             del got, at
-        n, v = sums[0]
         for i, part in enumerate(asked[0]):
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([mine], pa.int32()), pa.array([replies[0][i]], pa.binary()), pa.array([replies[1][i]], pa.binary()), pa.array([n if i == 0 else 0], pa.int64()), pa.array([v if i == 0 else 0], pa.int64())], ["part", "range", "u", "b", "n", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([mine], pa.int32()), *[pa.array([r[i]], pa.binary()) for r in replies], *[pa.array([x if i == 0 else 0], pa.int64()) for x in sums]], ["part", "range", "w", "p", "t", "n", "v", "d"])
 
-    asked = held.repartitionById(parts, F.col("part")).mapInArrow(ask, "range int, part int, u binary, b binary")
-    answered = asked.repartitionById(parts, F.col("range")).mapInArrow(count, "part int, range int, u binary, b binary, n long, v long")
+    asked = held.repartitionById(parts, F.col("part")).mapInArrow(ask, f"range int, part int, {blocks}")
+    answered = asked.repartitionById(parts, F.col("range")).mapInArrow(count, f"part int, range int, {blocks}, n long, v long, d long")
     replies = cut(spark, answered, "counts")
+    del asked, answered
     free_shuffles(spark)
-    total, vocabulary = (x or 0 for x in replies.agg(F.sum("n"), F.sum("v")).first())
+    total, vocabulary, documents = (x or 0 for x in replies.agg(F.sum("n"), F.sum("v"), F.sum("d")).first())
 
-    both = held.withColumn("range", F.lit(-1)).withColumn("u", F.lit(None).cast("binary")).select("part", "range", "id", "train", F.col("z").alias("x"), "u")
-    both = both.unionByName(replies.select("part", "range", F.lit(None).cast("long").alias("id"), F.lit(None).cast("boolean").alias("train"), F.col("b").alias("x"), "u"))
-    met = both.repartitionById(parts, F.col("part"))
+    none = F.lit(None).cast("binary")
+    both = held.select("part", F.lit(-1).alias("range"), "id", "train", F.col("z").alias("w"), none.alias("p"), none.alias("t"))
+    both = both.unionByName(replies.select("part", "range", F.lit(None).cast("long").alias("id"), F.lit(None).cast("boolean").alias("train"), "w", "p", "t"))
 
-    def gathered(batches) -> Part | None:
+    def met(batches):
         rows, got = [], []
         for b in batches:
-            for _, r, i, t, x, u in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                rows.append((i, t, x)) if r < 0 else got.append((r, u, x))
-        if not rows:
-            return None
-        part = Part(rows, WordHash())
-        part.take(got, parts)
-        return part
-
-    def sum_cells(batches):
-        if (part := gathered(batches)) is not None:
-            c = cells(part, total)
-            yield pa.RecordBatch.from_arrays([pa.array(c["cell"], pa.int64()), pa.array(c["n"], pa.int64()), pa.array(c["p2"], pa.float64()), pa.array(c["p1"], pa.float64())], ["cell", "n", "p2", "p1"])
-
-    grid = met.mapInArrow(sum_cells, "cell long, n long, p2 double, p1 double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1"))
-    weights = learn_weights(sorted((r["cell"], r["n"], r["p2"], r["p1"]) for r in grid.collect()), vocabulary)
+            for _, r, i, t, w, p, x in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                rows.append((i, t, w)) if r < 0 else got.append((r, w, p, x))
+        if rows:
+            part = Part(rows, WordHash())
+            counts = part.take(got, parts)
+            for at in slices(part):
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in Slice.packed(part, counts, *at)], ["ids", "sizes", "train", "counts"])
+
+    counted = cut(spark, both.repartitionById(parts, F.col("part")).mapInArrow(met, Slice.SCHEMA), "counted")
+    del both
+    discard(spark, replies)
     free_shuffles(spark)
 
+    def each(batches):
+        for b in batches:
+            yield from (Slice(*row) for row in zip(*[c.to_pylist() for c in b.columns], strict=True))
+
+    def sums_of(weights: np.ndarray) -> np.ndarray:
+        """One round's sums over all held-out tokens."""
+
+        def run(batches):
+            sums = np.zeros((BUCKETS, 6))
+            for s in each(batches):
+                if s.train.any():
+                    sums += expectation(*s.learnt(documents, total, vocabulary), weights)
+            yield pa.RecordBatch.from_arrays([pa.array(range(BUCKETS), pa.int32()), *[pa.array(c) for c in sums.T]], ["bucket", *"abcdnl"])
+
+        rows = counted.mapInArrow(run, "bucket int, a double, b double, c double, d double, n double, l double").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in "abcdnl"]).collect()
+        out = np.zeros((BUCKETS, 6))
+        for r in rows:
+            out[r["bucket"]] = [r[c] for c in "abcdnl"]
+        return out
+
+    def sampled(batches):
+        """Held-out tokens picked evenly, about START_TOKENS of them all."""
+        for s in each(batches):
+            if s.train.any():
+                bucket, p = s.learnt(documents, total, vocabulary)
+                pick = np.random.default_rng(int(s.ids[0]) & 0xFFFF_FFFF).random(len(bucket)) < START_TOKENS / max(1, total)
+                if pick.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[pick].astype(np.int32)), *[pa.array(np.ascontiguousarray(c)) for c in p[pick].T]], ["bucket", *"abcd"])
+
+    weights = first_weights()
+    if total:
+        sample = counted.mapInArrow(sampled, "bucket int, a double, b double, c double, d double").toArrow().sort_by([(c, "ascending") for c in ("bucket", *"abcd")])
+        if sample.num_rows:
+            bucket, p = sample.column(0).to_numpy().astype(np.int64), np.stack([sample.column(i).to_numpy() for i in range(1, 5)], 1)
+            for _ in range(100):
+                weights = maximised(expectation(bucket, p, weights), weights)
+        best = -np.inf
+        for _ in range(ROUNDS):
+            sums = sums_of(weights)
+            weights = maximised(sums, weights)
+            now = sums[:, 5].sum() / max(1, sums[:, 4].sum())
+            if now - best < GAIN:
+                break
+            best = now
+
     def evaluate(batches):
-        if (part := gathered(batches)) is None:
-            return
-        for first, last, a, b in slices(part):
-            cp, cv, cw = part.cp[a:b], part.cv[a:b], part.cw[a:b]
-            lam = weights[bucket(cv)]
-            p = lam[:, 0] * np.where(cv > 0, cp / np.maximum(cv, 1), 0.0) + lam[:, 1] * (cw / max(1, total)) + lam[:, 2] / (vocabulary + 1)
-            if not total:
-                p = np.ones(len(p)) / (vocabulary + 1)
-            at, n = part.begin[first:last] - a, last - first
-            sums = [np.add.reduceat(x, at) for x in ((cw > 0).astype(np.int64), np.log10((cw + 1) / (total + vocabulary + 1)), np.log10(p))]
-            yield pa.RecordBatch.from_arrays([pa.array(part.ids[first:last]), pa.array(part.size[first:last]), pa.array(sums[0]), pa.array(np.full(n, total, np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return met.mapInArrow(evaluate, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", key)
+        for s in each(batches):
+            bucket, p = estimates(s.counts, s.begin, documents, total, vocabulary, False)
+            chance = (weights[bucket] * p).sum(1) if total else np.ones(len(p)) / (vocabulary + 1)
+            word = s.counts[0].astype(np.int64)
+            sums = [np.add.reduceat(x, s.begin) for x in ((word > 0).astype(np.int64), np.log10((word + 1) / (total + vocabulary + 1)), np.log10(chance))]
+            yield pa.RecordBatch.from_arrays([pa.array(s.ids), pa.array(s.size), pa.array(sums[0]), pa.array(np.full(len(s.ids), total, np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return counted.mapInArrow(evaluate, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", key)

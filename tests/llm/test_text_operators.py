@@ -344,14 +344,75 @@ def test_language_model(spark, docs):
     assert held["model"] > held["base"]
 
 
-def test_language_model_sums_to_one():
-    """Over the known words and one unknown, each context's probabilities sum to 1."""
-    pairs = Counter({("a", "b"): 5, ("a", "c"): 2, ("b", "a"): 4})
-    words = Counter({"a": 7, "b": 5, "c": 2})
-    weights = interpolated_lm.learn_weights([(interpolated_lm.BINS2 * interpolated_lm.BINS1 * 3, 10, 4.0, 2.0)], 3)
-    lam = weights[int(interpolated_lm.bucket(np.array([7]))[0])]
-    p = [lam[0] * pairs["a", w] / 7 + lam[1] * words[w] / 14 + lam[2] / 4 for w in ("a", "b", "c", "?")]
-    assert sum(p) == pytest.approx(1) and (weights >= 0).all() and np.allclose(weights.sum(1), 1)
+def grams_of(w):
+    """(word, pair, triple, contexts) of every token; a text begins with two starts."""
+    padded = ["<1>", "<2>", *w]
+    return [(padded[k], tuple(padded[k - 1 : k + 1]), tuple(padded[k - 2 : k + 1]), padded[k - 1], tuple(padded[k - 2 : k])) for k in range(2, len(padded))]
+
+
+def brute_model(rows, learnt):
+    """Deleted interpolation from dictionaries: log10 probability of each text."""
+    counts, contexts = Counter(), Counter()
+    for w in learnt:
+        for word, pair, triple, one, two in grams_of(w):
+            counts.update([("w", word), pair, triple])
+            contexts.update([("w", one), two])
+    total, kinds = sum(len(w) for w in learnt), len({x for w in learnt for x in w})
+
+    def classed(c):
+        return 0 if c <= 0 else min(int(math.log2(c)) + 1, 23)
+
+    def seen(g, less):
+        word, pair, triple, one, two = g
+        c1, c2 = contexts["w", one] - less, contexts[two] - less
+        p = [(counts[triple] - less) / c2 if c2 > 0 else 0.0, (counts[pair] - less) / c1 if c1 > 0 else 0.0, (counts["w", word] - less) / (total - less), 1 / (kinds + 1)]
+        return ("two", classed(c2)) if c2 > 0 else ("one", classed(c1)), p
+
+    held_out = [seen(g, 1) for w in learnt for g in grams_of(w)]
+    by = defaultdict(lambda: [0.25] * 4)
+    for b, _ in held_out:
+        by[b]
+    for c in range(24):
+        by["one", c] = [1e-9, 1 / 3, 1 / 3, 1 / 3] if c else [1e-9, 1e-9, 0.5, 0.5]
+        by["two", c]
+    by = {b: [x / sum(v) for x in v] for b, v in by.items()}
+    best = None
+    for k in range(200):
+        share, n, likelihood = defaultdict(lambda: [0.0] * 4), Counter(), 0.0
+        for b, p in held_out:
+            whole = sum(a * x for a, x in zip(by[b], p, strict=True))
+            likelihood += math.log(whole)
+            n[b] += 1
+            for j in range(4):
+                share[b][j] += by[b][j] * p[j] / whole
+        for b in by:
+            new = [max(1e-9, x / n[b]) if n[b] else old for x, old in zip(share[b], by[b], strict=True)]
+            by[b] = [x / sum(new) for x in new]
+        if k >= 100:
+            if best is not None and likelihood / len(held_out) - best < 1e-6:
+                break
+            best = likelihood / len(held_out)
+
+    def chance(g):
+        b, p = seen(g, 0)
+        return sum(a * x for a, x in zip(by[b], p, strict=True))
+
+    return {i: sum(math.log10(chance(g)) for g in grams_of(w)) for i, w in rows}
+
+
+def test_language_model_equals_brute_force(spark, docs):
+    rows = [(i, tokens(t) + [None]) for i, t, *_ in corpus.rows()]
+    want = brute_model(rows, [w for i, w in rows if zlib.crc32(str(i).encode()) % 7 != 2])
+    for parts in (None, 3):
+        got = {r.doc_id: r.score for r in interpolated_lm.score(spark, docs, crc_mod("doc_id", 7) != 2, parts=parts).collect()}
+        assert got == pytest.approx(want, rel=1e-6)
+
+
+def test_language_model_of_repeated_rows_and_extremes(spark, docs):
+    rows = [(1, "a b a b"), (1, "a b a b"), (None, "a"), (2, None), (3, ""), (4, "zz " * 30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS part", "2 AS ids")
+    got = sorted((r.doc_id, r.n_tokens, r.train_tokens) for r in interpolated_lm.score(spark, df, crc_mod("doc_id", 7) != 99).collect())
+    assert got == [(1, 5, 30_013), (1, 5, 30_013), (2, 1, 30_013), (3, 1, 30_013), (4, 30_001, 30_013)]
 
 
 def test_language_model_without_training(spark, docs):
