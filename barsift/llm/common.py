@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+#: Spark deletes an execution's shuffle files when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +36,17 @@ def shared_path(spark: SparkSession, stem: str) -> str:
 
 
 def cut(spark: SparkSession, df: DataFrame, stem: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there."""
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and the shuffles of the write are deleted with it."""
     path = shared_path(spark, stem)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._barsift_path = path
     return out
@@ -53,11 +63,6 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished, unreferenced frames."""
-    spark._jvm.System.gc()
-
-
 def crc_mod(col: str, mod: int):
     """crc32 of the id written as text, modulo ``mod``; null ids count as remainder of the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % F.lit(mod)

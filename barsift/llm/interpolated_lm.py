@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, WordHash, cut, discard, free_shuffles, mix64, words_of
+from .common import U64, WordHash, cut, discard, mix64, words_of
 
 END, START = U64(0x5EED0001), U64(0x5EED0002)
 SIZES = 24  # buckets of a context's frequency
@@ -277,8 +277,6 @@ def score(spark: SparkSession, docs: DataFrame, train: Column, *, text: str = "t
     asked = held.repartitionById(parts, F.col("part")).mapInArrow(ask, f"range int, part int, {blocks}")
     answered = asked.repartitionById(parts, F.col("range")).mapInArrow(count, f"part int, range int, {blocks}, n long, v long, d long")
     replies = cut(spark, answered, "counts")
-    del asked, answered
-    free_shuffles(spark)
     total, vocabulary, documents = (x or 0 for x in replies.agg(F.sum("n"), F.sum("v"), F.sum("d")).first())
 
     none = F.lit(None).cast("binary")
@@ -297,9 +295,7 @@ def score(spark: SparkSession, docs: DataFrame, train: Column, *, text: str = "t
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in Slice.packed(part, counts, *at)], ["ids", "sizes", "train", "counts"])
 
     counted = cut(spark, both.repartitionById(parts, F.col("part")).mapInArrow(met, Slice.SCHEMA), "counted")
-    del both
     discard(spark, replies)
-    free_shuffles(spark)
 
     def each(batches):
         for b in batches:

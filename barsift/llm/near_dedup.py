@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, WordHash, cut, discard, free_shuffles, mix64, words_of
+from .common import U64, WordHash, cut, discard, mix64, words_of
 from .graph import components
 
 COORDS = 128
@@ -283,7 +283,6 @@ def near_duplicates(
     edges = shipped.mapInArrow(_confirm(shingle, percent, 100), "u long, v long")
     found = components(spark, edges)
     discard(spark, lists)
-    free_shuffles(spark)
 
     rep = classes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
     out = sketch.select("id", "n", "fp").join(rep, "fp", "left").withColumn("component_id", F.coalesce("component", "id"))

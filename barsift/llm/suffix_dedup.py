@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, cut, discard, free_shuffles, mix64
+from .common import U64, cut, discard, mix64
 from .interpolated_lm import pack, ranges, unpack
 
 K = 50
@@ -311,7 +311,6 @@ def dedup(spark: SparkSession, docs: DataFrame, *, text: str = "text", key: str
 
     asked = held.repartitionById(parts, F.col("part")).mapInArrow(ask, "range int, part int, x binary, y binary, one binary")
     replies = cut(spark, asked.repartitionById(parts, F.col("range")).mapInArrow(answer, "part int, range int, x binary, y binary"), "replies")
-    free_shuffles(spark)
 
     many = shards or parts
 
@@ -366,7 +365,6 @@ def dedup(spark: SparkSession, docs: DataFrame, *, text: str = "text", key: str
     none = F.lit(None).cast("binary")
     both = held.select("part", F.lit(-1).alias("range"), "id", F.col("z").alias("x"), none.alias("y")).unionByName(replies.select("part", "range", F.lit(None).cast("long").alias("id"), "x", "y"))
     sifted = cut(spark, both.repartitionById(parts, F.col("part")).mapInArrow(sift, "shard long, hot boolean, part int, doc int, lo long, hi long, snippet binary"), "sifted")
-    free_shuffles(spark)
 
     def shard_runs(batches):
         rows = sorted((p, d, lo, hot, s) for p, d, lo, hot, s in _rows(batches, (2, 3, 4, 1, 5)))
