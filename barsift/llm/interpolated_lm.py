@@ -42,7 +42,7 @@ END, START = U64(0x5EED0001), U64(0x5EED0002)
 SIZES = 24  # buckets of a context's frequency
 BUCKETS = 2 * SIZES  # of the last word alone, then of the last two
 PART_BYTES = 16_000_000
-START_TOKENS, GAIN, ROUNDS = 200_000, 1e-6, 30
+START_TOKENS, GAIN, ROUNDS = 200_000, 1e-5, 30
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -223,7 +223,7 @@ def _held(docs: DataFrame, text: str, key: str, train: Column, parts: int) -> Da
     """(part, id, train, z): documents dealt by id, texts compressed."""
 
     def squeeze(batches):
-        z = zstandard.ZstdCompressor(level=1)
+        z = zstandard.ZstdCompressor(level=3)
         for b in batches:
             packed = [z.compress(t) if t else b"" for t in (x.as_py() for x in b.column(3))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(packed, pa.binary())], ["part", "id", "train", "z"])

@@ -389,7 +389,7 @@ def brute_model(rows, learnt):
             new = [max(1e-9, x / n[b]) if n[b] else old for x, old in zip(share[b], by[b], strict=True)]
             by[b] = [x / sum(new) for x in new]
         if k >= 100:
-            if best is not None and likelihood / len(held_out) - best < 1e-6:
+            if best is not None and likelihood / len(held_out) - best < interpolated_lm.GAIN:
                 break
             best = likelihood / len(held_out)
 
