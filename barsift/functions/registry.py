@@ -35,3 +35,8 @@ def available(name: str, engine: str) -> bool:
     if engine == "duckdb":
         return name not in NOT_IN_SQL
     return engine == "spark" or name not in SQL_ONLY
+
+
+def sql_indicators() -> dict[str, tuple[tuple[str, ...], Callable, tuple[str, ...]]]:
+    """The entries that screens with the conventions of SQL engines may use."""
+    return {name: entry for name, entry in INDICATORS.items() if available(name, "duckdb")}

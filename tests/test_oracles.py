@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+import barsift.path_queries  # noqa: F401  (registers more)
 from barsift import queries
 from barsift.cluster import ship
 from tests import duck

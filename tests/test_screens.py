@@ -150,6 +150,44 @@ def test_plan_shape(frame):
     assert plan.count("Exchange") == 1 and "ArrowEvalPython" not in plan
 
 
+def test_plan_shape_of_kernels(frame, spark, tmp_path):
+    """Kernels of several levels share one grouped pass; a filter on the partition key reaches the scan below it."""
+    frame.write.parquet(f"{tmp_path}/bars")
+    stored = spark.read.parquet(f"{tmp_path}/bars")
+    catalog = catalog_from_schema(stored)
+    scan = parse("symbol == 'AAA' and ema(20) > ema(50) and rsi(close, 14) > 30 and atr(14) > 0", catalog=catalog)
+    got = apply(stored, scan, catalog=catalog)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1 and plan.count("Exchange") == 1 and "EqualTo(symbol,AAA)" in plan
+    whole = apply(stored, parse("ema(20) > ema(50) and rsi(close, 14) > 30 and atr(14) > 0", catalog=catalog), catalog=catalog).where("symbol = 'AAA'")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect())) != []
+
+
+def test_columns_named_like_staged_ones(frame):
+    odd = frame.withColumn("__s0", F.lit(7.0)).withColumn("__stage_0", F.lit(8.0))
+    got = apply(odd, parse("ema(5) > 0 and close >= sma(3)", catalog=catalog_from_schema(odd)), catalog=catalog_from_schema(odd))
+    assert got.columns == odd.columns and {(r[0], r[1]) for r in got.select("__s0", "__stage_0").collect()} == {(7.0, 8.0)}
+
+
+def test_screen_batches(frame, spark):
+    from barsift.streaming.screens import apply_stream, screen_batches
+
+    scan = parse("close > sma(5) and symbol in [AAA]", catalog=catalog_from_schema(frame))
+    old, new, written = frame.where("session < '2026-02-20'"), frame.where("session >= '2026-02-20'"), []
+    run_batch = screen_batches(lambda: old, scan, lambda df, n: written.append((n, sorted(map(tuple, df.collect())))), catalog=catalog_from_schema(frame))
+    run_batch(new, 3)
+    want = apply(frame, scan, catalog=catalog_from_schema(frame)).where("session >= '2026-02-20'")
+    assert written == [(3, sorted(map(tuple, want.collect())))] and written[0][1]
+    plain = apply_stream(frame, parse("symbol == 'AAA' and close > 15", catalog=catalog_from_schema(frame)), catalog=catalog_from_schema(frame))
+    assert plain.count() == frame.where("symbol = 'AAA' AND close > 15").count() > 0
+
+
+def test_candles_of_sql_engines(frame):
+    scan = {"filters": [{"property": fn("cdlbreakaway", 1), "op": ">=", "value": -200}]}
+    counts = [run_on.groupBy("symbol").count().collect() for run_on in (apply(frame, scan, engine=e, catalog=catalog_from_schema(frame)) for e in ("spark", "duckdb"))]
+    assert {r["count"] for r in counts[0]} == {60} and {r["count"] for r in counts[1]} == {60 - 14}
+
+
 def test_empty_frame(spark):
     df = spark.createDataFrame(bars.trend_and_flat()).limit(0)
     got = run(df, leaf(fn("ema", CLOSE, 5), "cross_above", fn("sma", CLOSE, 20)), leaf(fn("adx", 14), ">", 1))
