@@ -11,7 +11,9 @@ anchors at equal offsets, so only runs of equal anchors need comparing. Parts
 of the corpus (ranges of ids, so the order of parts is the order of documents)
 ask two questions about their distinct runs and anchors, packed as sorted hash
 blocks: is this run's content first met in me, and does this anchor come with
-several contents. A run met before is wholly repeated. What is left open are
+several contents. A run met before is wholly repeated; contents are told apart
+by two hashes of 64 bits, one over bytes and one over K-mers: among 10^12 runs
+the chance of any false match is some 10^-13. What is left open are
 first runs of anchors with several contents, mostly the edges of repeats.
 
 Suffix arrays. Those runs go to shards by anchor. A shard sorts its suffixes by
@@ -63,13 +65,27 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def alike(key: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in order: the first place of each, and each place's number among them."""
+    order = np.argsort(key, kind="stable")
+    k, t = key[order], tag[order]
+    if ((k[1:] == k[:-1]) & (t[1:] != t[:-1])).any():
+        order = np.lexsort((tag, key))
+        k, t = key[order], tag[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
+    number = np.empty(len(k), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
 class Runs:
-    """Runs of one text: first and last window, anchor hash, content hash."""
+    """Runs of one text: first and last window, anchor hash, and two content hashes, one over bytes, one over K-mers."""
 
     def __init__(self, text: bytes, length: int):
         parts = [self._segment(text[lo : lo + SEGMENT + length - 1], lo, length) for lo in range(0, len(text) - length + 1, SEGMENT)]
         parts = [p for p in parts if p is not None]
-        self.lo, self.hi, self.anchor, self.content = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, U64 if i > 1 else np.int64) for i in range(4))
+        self.lo, self.hi, self.anchor, self.content, self.tag = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, U64 if i > 1 else np.int64) for i in range(5))
 
     @staticmethod
     def _segment(text: bytes, base: int, length: int):
@@ -95,8 +111,11 @@ class Runs:
         whole = (sums[ends + length] - sums[starts]) * down[starts]
         place = at[starts]
         content = mix64(whole ^ mix64((ends - starts).astype(U64) * U64(4096) + (place - starts).astype(U64)))
+        # the mixed K-mers are no polynomial of the bytes, so texts that agree in one hash by chance differ in the other
+        np.cumsum(mers * up[: len(mers)], out=sums[1 : len(mers) + 1])
+        tag = mix64((sums[ends + length - K + 1] - sums[starts]) * down[starts])
         # minima crowd at the low end; mixed again they spread over all ranges
-        return starts + base, ends + base, mix64(mers[place] ^ BYTE[0]), content
+        return starts + base, ends + base, mix64(mers[place] ^ BYTE[0]), content, tag
 
 
 class Part:
@@ -107,10 +126,12 @@ class Part:
         self.docs = sorted((i, inflate.decompress(z) if z else b"") for i, z in docs)
         runs = [Runs(t, length) for _, t in self.docs]
         self.doc = np.repeat(np.arange(len(runs)), [len(r.lo) for r in runs])
-        self.lo, self.hi, anchor, content = (np.concatenate([getattr(r, k) for r in runs]) if runs else np.zeros(0, np.int64) for k in ("lo", "hi", "anchor", "content"))
-        anchor, content = anchor.astype(U64), content.astype(U64)
+        self.lo, self.hi, anchor, content, tag = (np.concatenate([getattr(r, k) for r in runs]) if runs else np.zeros(0, np.int64) for k in ("lo", "hi", "anchor", "content", "tag"))
+        anchor, content, tag = anchor.astype(U64), content.astype(U64), tag.astype(U64)
         self.anchor = anchor
-        self.keys, self.first, self.key = np.unique(mix64(anchor * U64(_B) + content), return_index=True, return_inverse=True)
+        keys = mix64(anchor * U64(_B) + content)
+        self.first, self.key = alike(keys, tag)
+        self.keys, self.tags = keys[self.first], tag[self.first]
         self.anchors, self.a = np.unique(anchor, return_inverse=True)
         # contents of each anchor: how many, and one that stands for them
         owner = self.a[self.first]
@@ -123,7 +144,8 @@ class Part:
         ck, ca = ranges(self.keys, parts), ranges(self.anchors, parts)
         for r in range(parts):
             a, b = ca[r], ca[r + 1]
-            yield r, pack(self.keys[ck[r] : ck[r + 1]], none[ck[r] : ck[r + 1]]), pack(self.anchors[a:b], self.kinds[a:b]), self.one[a:b].astype("<u8").tobytes()
+            x = slice(ck[r], ck[r + 1])
+            yield r, pack(self.keys[x], none[x]), self.tags[x].astype("<u8").tobytes(), pack(self.anchors[a:b], self.kinds[a:b]), self.one[a:b].astype("<u8").tobytes()
 
     def answers(self, replies: list[tuple[int, bytes, bytes]], parts: int) -> None:
         """``repeated``: runs whose content was met before. ``open``: 1 for first runs of anchors with several contents, 2 if very many."""
@@ -284,20 +306,20 @@ def dedup(spark: SparkSession, docs: DataFrame, *, text: str = "text", key: str
         if docs:
             me = TaskContext.get().partitionId()
             part = Part(docs, length)
-            for r, x, y, one in part.questions(parts):
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([me], pa.int32()), *[pa.array([v], pa.binary()) for v in (x, y, one)]], ["range", "part", "x", "y", "one"])
+            for r, *blocks in part.questions(parts):
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([me], pa.int32()), *[pa.array([v], pa.binary()) for v in blocks]], ["range", "part", "x", "tag", "y", "one"])
 
     def answer(batches):
-        asked = sorted(_rows(batches, (1, 2, 3, 4)))
+        asked = sorted(_rows(batches, (1, 2, 3, 4, 5)))
         if not asked:
             return
         mine = TaskContext.get().partitionId()
-        runs = [unpack(x)[0] for _, x, _, _ in asked]
+        runs = [unpack(x)[0] for _, x, *_ in asked]
         cuts = np.cumsum([0] + [len(r) for r in runs])
         # blocks stand in order of parts, so the first of equal keys is the earliest part's
-        _, first, at = np.unique(np.concatenate(runs), return_index=True, return_inverse=True)
+        first, at = alike(np.concatenate(runs), np.concatenate([np.frombuffer(t, "<u8") for _, _, t, *_ in asked]))
         met = (first[at] != np.arange(cuts[-1])).astype(np.uint8)
-        got = [(*unpack(y), np.frombuffer(one, "<u8")) for _, _, y, one in asked]
+        got = [(*unpack(y), np.frombuffer(one, "<u8")) for *_, y, one in asked]
         cut_a = np.cumsum([0] + [len(g[0]) for g in got])
         keys, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
         one = np.concatenate([g[2] for g in got])
@@ -309,7 +331,7 @@ def dedup(spark: SparkSession, docs: DataFrame, *, text: str = "text", key: str
         for i, (part, *_) in enumerate(asked):
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([mine], pa.int32()), pa.array([met[cuts[i] : cuts[i + 1]].tobytes()], pa.binary()), pa.array([several[cut_a[i] : cut_a[i + 1]].tobytes()], pa.binary())], ["part", "range", "x", "y"])
 
-    asked = held.repartitionById(parts, F.col("part")).mapInArrow(ask, "range int, part int, x binary, y binary, one binary")
+    asked = held.repartitionById(parts, F.col("part")).mapInArrow(ask, "range int, part int, x binary, tag binary, y binary, one binary")
     replies = cut(spark, asked.repartitionById(parts, F.col("range")).mapInArrow(answer, "part int, range int, x binary, y binary"), "replies")
 
     many = shards or parts

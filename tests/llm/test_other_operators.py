@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -304,6 +305,32 @@ def test_runs_cover_all_windows():
     assert whole.lo[0] == 0 and whole.hi[-1] == 1900 and (whole.lo[1:] == whole.hi[:-1] + 1).all()
 
 
+def test_alike_tells_pairs_apart():
+    rng = np.random.default_rng(3)
+    for n, high in ((0, 1), (1, 1), (400, 6), (400, 1000)):
+        key, tag = (rng.integers(0, high, n).astype(np.uint64) for _ in range(2))
+        pairs = list(zip(key.tolist(), tag.tolist(), strict=True))
+        first, number = suffix_dedup.alike(key, tag)
+        assert [pairs[i] for i in first] == sorted(set(pairs)) and [pairs.index(p) for p in sorted(set(pairs))] == first.tolist()
+        assert [sorted(set(pairs))[i] for i in number] == pairs
+
+
+def test_tags_follow_contents():
+    """Runs of equal bytes have equal tags wherever they stand, others differ; so a chance match of the first hash alone removes nothing."""
+    rng = random.Random(2)
+    shared = bytes(rng.randrange(97, 123) for _ in range(900))
+    texts = [bytes(rng.randrange(97, 123) for _ in range(n)) + shared + bytes(rng.randrange(97, 123) for _ in range(50)) for n in (0, 7, 333)]
+    tags = {}
+    for t in texts:
+        r = suffix_dedup.Runs(t, 100)
+        for lo, hi, tag in zip(r.lo.tolist(), r.hi.tolist(), r.tag.tolist(), strict=True):
+            assert tags.setdefault(t[lo : hi + 100], tag) == tag
+    assert len(set(tags.values())) == len(tags) and len(tags) < sum(len(suffix_dedup.Runs(t, 100).lo) for t in texts)
+    z = zstandard.ZstdCompressor()
+    part = suffix_dedup.Part([(i, z.compress(t)) for i, t in enumerate(texts)], 100)
+    assert len(part.keys) == len(tags) == len(part.tags)
+
+
 # -- token counts
 
 
