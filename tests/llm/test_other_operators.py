@@ -132,6 +132,69 @@ def test_few_vectors(spark, docs):
     assert [r.vec_id for r in got] == [1, 2, 3, 4, 5, 0, 1, 2, 3, 4]
 
 
+def test_batches_stay_bounded_where_queries_visit_most_leaves(spark, docs, monkeypatch, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(3000, 32)))]  # no near neighbours
+    frame = vectors(spark, rows)
+    plain = type(frame).mapInArrow
+
+    def watched(self, run, schema, *args, **options):
+        def watch(batches):
+            for b in run(batches):
+                (tmp_path / f"{b.nbytes}").touch()
+                yield b
+
+        return plain(self, watch, schema, *args, **options)
+
+    monkeypatch.setattr(type(frame), "mapInArrow", watched)
+    got = defaultdict(set)
+    for r in kmeans_tree.search(spark, frame, every=1, leaf_rows=10).collect():
+        got[r.query_id].add(r.vec_id)
+    x = kmeans_tree.unit(np.array([v for _, v in rows], np.float32))
+    near = x @ x.T - 9 * np.eye(len(x))
+    want = np.argsort(-near, 1)[:, :5]
+    assert sum(len(got[i] & set(w.tolist())) for i, w in enumerate(want)) >= 0.9 * want.size
+    assert max(int(p.name) for p in tmp_path.iterdir()) < 16e6
+
+
+@pytest.mark.parametrize("grow_rows", [20_000, 60])
+def test_neighbours_by_groups_and_rounds(spark, docs, monkeypatch, grow_rows):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(300)]
+    rows += [(400 + i, rows[9][1]) for i in range(60)]  # a leaf of several groups
+    rows += [(i, rng.normal(size=6).tolist()) for i in (7, 7, 8, 8, 50, 100)]  # several vectors under one id
+    monkeypatch.setattr(kmeans_tree, "LEAST_SENT", 1)
+    got = defaultdict(list)
+    options = {"every": 10, "recall": 1.0, "sample_rows": 40, "branch": 3, "leaf_rows": 20, "grow_rows": grow_rows, "group_rows": 25}
+    for r in kmeans_tree.search(spark, vectors(spark, rows), **options).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r["rank"], r.vec_id, round(r.score, 9)))
+    want = brute_by_id(rows, 10, 5)
+    assert set(got) == set(want)
+    same = sum(len(set(got[i]) & set(want[i])) for i in want)
+    assert same >= 0.97 * 5 * len(want) and all([x[0] for x in got[i]] == [1, 2, 3, 4, 5] for i in got)
+
+
+def test_cell_equals_brute_force(monkeypatch):
+    monkeypatch.setattr(kmeans_tree, "TILE", 16)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 5)) * 10.0 ** rng.integers(-6, 6, size=(200, 1))
+    x[150:] = x[:50] * 3  # equal cosines, all but rounding
+    ids, leaf = rng.integers(0, 150, 200), rng.integers(0, 4, 200)
+    qid, lists = np.arange(40), [np.flatnonzero(rng.random(4) < 0.6) for _ in range(40)]
+    q = rng.normal(size=(40, 5))
+    cell = kmeans_tree.Cell(leaf, ids, x, 5)
+    got = defaultdict(list)
+    for a, i, s in zip(*cell.best(qid, q, np.array([len(z) for z in lists]), np.concatenate(lists)), strict=True):
+        got[int(a)].append((int(i), round(float(s), 9)))
+    for i in range(40):
+        best = {}
+        for j in np.flatnonzero(np.isin(leaf, lists[i])):
+            if ids[j] != i:
+                best[ids[j]] = max(best.get(ids[j], -2), round(float(x[j] @ q[i] / math.sqrt(x[j] @ x[j]) / math.sqrt(q[i] @ q[i])), 9))
+        assert [s for _, s in got[i]] == sorted(best.values(), reverse=True)[:5]
+        assert all(best[j] == s for j, s in got[i])
+
+
 def test_visits_are_best_first():
     rng = np.random.default_rng(3)
     x = kmeans_tree.unit(rng.normal(size=(600, 6)))
