@@ -42,18 +42,28 @@ END, START = U64(0x5EED0001), U64(0x5EED0002)
 SIZES = 24  # buckets of a context's frequency
 BUCKETS = 2 * SIZES  # of the last word alone, then of the last two
 PART_BYTES = 16_000_000
+LOW = 5  # bytes of a difference of hashes that stand as they are
 START_TOKENS, GAIN, ROUNDS = 200_000, 1e-5, 30
 
 
+#: For planes of small numbers, whose bytes are seldom equally frequent.
+SQUEEZE = zstandard.ZstdCompressor(level=1)
+
+
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences of 6 bytes (8 if one is wider) and counts of one byte, larger ones listed after."""
+    """Sorted keys as differences of 6 bytes (8 if one is wider) and counts of one byte, larger ones listed after.
+
+    The lower 5 bytes of a hash's difference are as good as random and stand as they are. The upper ones are mostly
+    small, as are the counts: these go by planes and compressed."""
     step = np.diff(keys, prepend=U64(0))
     first, step = step[:1], step[1:]
     width = 6 if not len(step) or int(step.max()) < 2**48 else 8
+    raw = step.astype("<u8").view(np.uint8).reshape(-1, 8)
     small = np.minimum(counts, 255).astype(np.uint8)
     large = counts[counts >= 255].astype("<u4")
-    body = np.ascontiguousarray(step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-    return np.array([len(keys), width], "<u4").tobytes() + first.astype("<u8").tobytes() + body + small.tobytes() + large.tobytes()
+    planes = SQUEEZE.compress(np.ascontiguousarray(raw[:, LOW:width].T).tobytes() + small.tobytes())
+    head = np.array([len(keys), width, len(planes)], "<u4").tobytes() + first.astype("<u8").tobytes()
+    return head + np.ascontiguousarray(raw[:, :LOW]).tobytes() + planes + large.tobytes()
 
 
 def unpack_counts(raw: bytes, n: int, at: int) -> np.ndarray:
@@ -63,13 +73,17 @@ def unpack_counts(raw: bytes, n: int, at: int) -> np.ndarray:
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, width = np.frombuffer(raw, "<u4", 2).tolist()
+    n, width, size = np.frombuffer(raw, "<u4", 3).tolist()
     if not n:
         return np.zeros(0, U64), np.zeros(0, np.int64)
     step = np.zeros((n, 8), np.uint8)
-    step[0] = np.frombuffer(raw, np.uint8, 8, 8)
-    step[1:, :width] = np.frombuffer(raw, np.uint8, (n - 1) * width, 16).reshape(-1, width)
-    return np.cumsum(step.view("<u8").ravel(), dtype=U64), unpack_counts(raw, n, 16 + (n - 1) * width)
+    step[0] = np.frombuffer(raw, np.uint8, 8, 12)
+    step[1:, :LOW] = np.frombuffer(raw, np.uint8, (n - 1) * LOW, 20).reshape(-1, LOW)
+    at = 20 + (n - 1) * LOW
+    planes = zstandard.ZstdDecompressor().decompress(raw[at : at + size])
+    upper = (n - 1) * (width - LOW)
+    step[1:, LOW:width] = np.frombuffer(planes, np.uint8, upper).reshape(width - LOW, -1).T
+    return np.cumsum(step.view("<u8").ravel(), dtype=U64), unpack_counts(planes[upper:] + raw[at + size :], n, 0)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:

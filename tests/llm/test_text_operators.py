@@ -430,6 +430,19 @@ def test_packed_blocks():
         assert (interpolated_lm.unpack_counts(interpolated_lm.pack_counts(counts), len(counts), 0) == counts).all()
 
 
+def test_packed_blocks_take_little_more_than_their_entropy():
+    rng = np.random.default_rng(8)
+    for n, most in ((40_000, 6.0), (1000, 6.4)):
+        # a range of a part's triples: differences of some 43 bits, most counts 1
+        keys = np.cumsum(rng.exponential(2.0**43, n)).astype(np.uint64)
+        counts = np.where(rng.random(n) < 0.9, 1, rng.integers(0, 5, n))
+        raw = interpolated_lm.pack(keys, counts)
+        assert len(raw) < most * n
+        got = interpolated_lm.unpack(raw)
+        assert np.array_equal(got[0], keys) and np.array_equal(got[1], counts)
+
+
+
 # -- decontamination
 
 
