@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +66,33 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+#: What this Python worker keeps from task to task; workers serve all operators of an application, so it is one thing at a time.
+_kept: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]):
+    """What ``make`` returns, kept by the worker until something else is asked for. (A function of the module, as the dictionary itself would travel as a copy.)"""
+    if key not in _kept:
+        forget()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    """Drop what an operator before has kept."""
+    _kept.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's pool and the C library hold on to it, in every worker."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
 def crc_mod(col: str, mod: int):
     """crc32 of the id written as text, modulo ``mod``; null ids count as remainder of the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % F.lit(mod)

@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix64
+from .common import U64, forget, give_back, mix64
 
 STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BITS = 3
@@ -361,11 +361,13 @@ def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: st
     for shared in _groups(spark, benchmark, item_text, item_key, group_items, edits, min_words, target_recall):
 
         def run(batches, shared=shared):
+            forget()
             group = shared.value
             for part in _sliced(batches, slice_rows):
                 got = group.hits(part.column(1).to_pylist())
                 doc, *rest = zip(*got, strict=True) if got else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc, pa.int64())), *[pa.array(x, pa.int64()) for x in rest]], ["k", "item_id", "distance", "at_word"])
+            give_back()
 
         part = rows.mapInArrow(run, f"k {kind}, item_id long, distance long, at_word long")
         out = part if out is None else out.union(part)
@@ -380,6 +382,7 @@ def flag(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: st
     for shared in _groups(spark, benchmark, item_text, item_key, group_items, edits, min_words, target_recall):
 
         def run(batches, shared=shared):
+            forget()
             group = shared.value
             for part in _sliced(batches, slice_rows):
                 n, item, far = (part.column(c).to_pylist() for c in (2, 3, 4))
@@ -388,6 +391,7 @@ def flag(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: st
                     if far[doc] is None or (d, i) < (far[doc], item[doc]):
                         far[doc], item[doc] = d, i
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(x, pa.int64()) for x in (n, item, far)]], ["k", "t", "n", "item", "far"])
+            give_back()
 
         rows = rows.mapInArrow(run, schema)
     return rows.select(F.col("k").alias(key), (F.col("n") > 0).alias("contaminated"), F.col("n").alias("n_items"), F.col("item").alias("item_id"), F.col("far").alias("distance"))
@@ -399,11 +403,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
     for shared in _groups(spark, benchmark, item_text, item_key, group_items, edits, min_words, target_recall):
 
         def run(batches, shared=shared):
+            forget()
             group = shared.value
             for part in _sliced(batches, slice_rows):
                 good = np.ones(part.num_rows, bool)
                 good[[h[0] for h in group.hits([None if t is None else t.encode() for t in part.column(at).to_pylist()])]] = False
                 yield part.filter(pa.array(good))
+            give_back()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

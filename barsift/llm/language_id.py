@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, tokenizer_path
+from .common import U64, give_back, kept, mix64, tokenizer_path
 
 SHORT = 64
 GAIN = 10
@@ -253,15 +253,9 @@ class Scorer:
         return out
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def scorer_for(model: dict) -> Scorer:
     """The worker's scorer of this model, with the words it has met; models are told apart by a name drawn when they were fitted."""
-    if model["name"] not in _scorers:
-        _scorers.clear()
-        _scorers[model["name"]] = Scorer(model["langs"], model["prior"], model["p"], model["pieces"])
-    return _scorers[model["name"]]
+    return kept(("scorer", model["name"]), lambda: Scorer(model["langs"], model["prior"], model["p"], model["pieces"]))
 
 
 def fit(spark: SparkSession, labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", vocab: str | None = None, sample_docs: int = 150) -> dict:
@@ -296,6 +290,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: dict, *, text: str = "t
                 part = batch.slice(lo, slice_rows)
                 got = scorer.score(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["k", "lang_pred", "score"])
+        give_back()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, lang_pred string, score double").withColumnRenamed("k", key)
@@ -313,5 +308,6 @@ def keep_identified(spark: SparkSession, docs: DataFrame, model: dict, *, text:
                 part = batch.slice(lo, 256)
                 good = [lang != UNDETERMINED and score >= min_score for lang, score in scorer.score(part.column(column).to_pylist())]
                 yield part.filter(pa.array(good, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, WordHash, cut, discard, mix64, words_of
+from .common import U64, WordHash, cut, discard, forget, give_back, mix64, words_of
 from .graph import components
 
 COORDS = 128
@@ -99,6 +99,7 @@ def _sketches(docs: DataFrame, text: str, key: str, size: int, trees: int, simil
     roots = mix64(np.arange(1, trees + 1, dtype=U64))
 
     def run(batches):
+        forget()
         hashes = WordHash(200_000)
         for batch in (b.slice(lo, 1_000) for b in batches for lo in range(0, b.num_rows, 1_000)):
             ids, out = batch.column(0), {"n": [], "fp": [], "mh": [], "nodes": []}
@@ -110,6 +111,8 @@ def _sketches(docs: DataFrame, text: str, key: str, size: int, trees: int, simil
                 out["mh"].append(mh.tobytes())
                 out["nodes"].append(children(roots, np.repeat(mh[None], trees, 0), similarity)[1].view(np.int64).tolist() if len(s) else [])
             yield pa.RecordBatch.from_arrays([ids, pa.array(out["n"], pa.int64()), pa.array(out["fp"], pa.binary()), pa.array(out["mh"], pa.binary()), pa.array(out["nodes"], pa.list_(pa.int64()))], ["id", "n", "fp", "mh", "nodes"])
+        del hashes
+        give_back()
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("t")).where("id IS NOT NULL")
     return rows.mapInArrow(run, "id long, n long, fp binary, mh binary, nodes array<long>")
@@ -220,6 +223,7 @@ def stars(sets: list[np.ndarray], need: int, of: int) -> list[tuple[int, int]]:
 
 def _confirm(size: int, need: int, of: int):
     def run(batches):
+        forget()
         hashes = WordHash(200_000)
         u, v = [], []
         for _, (ids, texts) in runs(batches, 2):
@@ -230,6 +234,8 @@ def _confirm(size: int, need: int, of: int):
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
                 u, v = [], []
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        del hashes
+        give_back()
 
     return run
 

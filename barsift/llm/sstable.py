@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_path, tokenizer_path
+from .common import cut, give_back, kept, shared_path, tokenizer_path
 
 MAGIC = b"BSSSTBL1"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
@@ -152,14 +152,9 @@ class Encoder:
         return a.tobytes()
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
-
-
 def encoder_for(path: str, width: int) -> Encoder:
-    """The worker's encoder: what it remembers serves all its tasks. (A function of the module, as the dictionary itself would travel as a copy.)"""
-    if (path, width) not in _encoders:
-        _encoders[path, width] = Encoder(path, width)
-    return _encoders[path, width]
+    """The worker's encoder: what it remembers serves all its tasks."""
+    return kept(("encoder", path, width), lambda: Encoder(path, width))
 
 
 def key_bytes(i: int) -> bytes:
@@ -326,13 +321,14 @@ def _drop_strays(spark: SparkSession, manifest: DataFrame, folder: str) -> None:
     store = top.getFileSystem(spark._jsc.hadoopConfiguration())
     if store.exists(top):
         there = [s.getPath().getName() for s in store.listStatus(top) if s.getPath().getName().endswith(".sst")]
-        listed = spark.createDataFrame([(n,) for n in there], "name string")
+        # from Arrow: a list would start Python workers of another kind, and their daemon stays
+        listed = spark.createDataFrame(pa.table({"name": pa.array(there, pa.string())}))
         named = manifest.select(F.substring_index("path", "/", -1).alias("name"))
         for r in listed.join(named, "name", "left_anti").toLocalIterator():
             store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{r['name']}"), False)
 
 
-def write_shards(spark: SparkSession, docs: DataFrame, folder: str, *, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, end_id: int = 2, shard_bytes: int = 32_000_000, shard_rows: int = 200_000, slice_rows: int = 3_000) -> DataFrame:
+def write_shards(spark: SparkSession, docs: DataFrame, folder: str, *, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, end_id: int = 2, shard_bytes: int = 32_000_000, shard_rows: int = 200_000, slice_rows: int = 1_000) -> DataFrame:
     """Write the shards; returns one row a shard: shard, path, rows, tokens, first_key, last_key, start (ids in all shards before)."""
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
     with open(path, encoding="utf-8") as f:
@@ -381,6 +377,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, folder: str, *, text: str
                     ends[1] = keys[-1]
                     held += [(k, v + end) for k, v in zip(keys, encoder.encode(part.column(1)), strict=True)]
                     put(False)
+                    give_back()
             if writer is not None:
                 put(True)
                 writer.close()

@@ -1,9 +1,11 @@
 """Nearest neighbours, mixing, token shards, substring dedup, token counts, the pipeline."""
 
+import gc
 import hashlib
 import io
 import math
 import random
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from barsift.cluster import ship
-from barsift.llm import kmeans_tree, mixing, sstable, suffix_dedup, token_counts
+from barsift.llm import kmeans_tree, language_id, mixing, sstable, suffix_dedup, token_counts
 from barsift.llm.common import shared_path, tokenizer_path
 from tests.llm import corpus
 
@@ -297,6 +299,23 @@ def test_shard_format():
         sstable.Reader(io.BytesIO(bytes(100)))
 
 
+def test_workers_keep_one_operators_tables():
+    pieces = [bytes([b]) for b in range(256)]
+    model = {"name": "one", "langs": ["x"], "prior": np.zeros(1), "p": np.append(np.full(256, 1 / 256), 0)[:, None], "pieces": pieces}
+    scorer = weakref.ref(language_id.scorer_for(model))
+    encoder = sstable.encoder_for(tokenizer_path("byte_bpe_50k.json"), 2)
+    gc.collect()
+    assert scorer() is None and sstable.encoder_for(tokenizer_path("byte_bpe_50k.json"), 2) is encoder
+
+
+def test_shards_start_no_other_python_workers(spark, docs, monkeypatch):
+    def no_rows_from_python(*a, **b):
+        raise AssertionError("rows of the driver's Python go through Python workers of their own")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", no_rows_from_python)
+    assert sstable.token_output(spark, docs.limit(50), shard_rows=20).count() == 50
+
+
 def test_encoder_equals_the_library():
     path = tokenizer_path("byte_bpe_50k.json")
     library, ours = Tokenizer.from_file(path), sstable.Encoder(path, 4)
